@@ -10,10 +10,8 @@ def read_files(spark: SparkSession, root: str, *suffixes: str) -> DataFrame:
     """Whole text of every file below ``root`` with one of the suffixes."""
     names = ",".join(s.lstrip(".") for s in suffixes)
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*.{{{names}}}")
-        .text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True,
+                        pathGlobFilter=f"*.{{{names}}}")
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
 
