@@ -182,8 +182,9 @@ def bm25_candidates(queries: DataFrame, candidates: DataFrame, docs: DataFrame,
 def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = 50) -> DataFrame:
     """Share of the distinct query terms a text holds, +0.1 for the whole phrase.
 
-    Terms must stand as tokens. The phrase is only looked for in texts that hold at least
-    one of the terms, which every text with the phrase does.
+    Terms must stand as tokens; a text without any of them has no score. Inside a longer
+    word only the first and last term of a phrase can hide, so the phrase is looked for
+    in texts that hold all other terms.
     """
     terms = queries.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("terms"),
                            F.lower("query_text").alias("phrase")).filter(F.size("terms") > 0)
@@ -208,10 +209,11 @@ def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = 50) -> DataFrame:
     for q, ts in enumerate(few["terms"]):
         member[np.searchsorted(vocabulary.astype(str), np.array(list(ts)).astype(str)), q] = 1.0 / len(ts)
     shared = docs.sparkSession.sparkContext.broadcast((
-        pa.array(vocabulary, type=pa.string()), member, few["query_id"].to_numpy(), list(few["phrase"])))
+        pa.array(vocabulary, type=pa.string()), member, few["query_id"].to_numpy(), list(few["phrase"]),
+        [len(ts) for ts in few["terms"]]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, member, query_ids, phrases = shared.value
+        known, member, query_ids, phrases, sizes = shared.value
         best = Best(len(query_ids), k, 1e-12)
         types = None
         for batch in batches:
@@ -227,7 +229,7 @@ def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = 50) -> DataFrame:
                 scores = present @ member
                 lows = batch.column(2).slice(start, size)
                 for q, phrase in enumerate(phrases):
-                    full = scores[:, q] > 1.0 - 1e-9  # the phrase needs every term
+                    full = (scores[:, q] > 0) & (scores[:, q] >= 1.0 - 2.0 / sizes[q] - 1e-9)
                     if full.any():
                         has = pc.match_substring(lows.filter(pa.array(full)), phrase)
                         at = np.flatnonzero(full)

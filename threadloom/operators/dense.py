@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators.ranking import top_k
@@ -166,12 +166,11 @@ def _on_grid(queries: DataFrame, chunks: DataFrame, k: int, threshold: float | N
     return left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInPandas(search, schema)
 
 
-def candidate_similarity(pairs: DataFrame, left: str = "vec_a", right: str = "vec_b") -> F.Column:
-    """Cosine of two vector columns as an expression."""
-    dot = lambda a, b: F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vector columns, for pairs that are already rows."""
+    dot = lambda p, q: F.aggregate(
+        F.zip_with(p, q, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
         lambda acc, x: acc + x)
-    a, b = F.col(left), F.col(right)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
