@@ -18,6 +18,10 @@ WS_SET = (
 )
 WS = f"[{WS_SET}]"
 WORD_SET = r"\p{L}\p{N}_"
+# The same white space as single characters.
+WS_CHARS = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -27,7 +31,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(c, f"\\A{WS}+|{WS}+\\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def squeeze(c: Column) -> Column:

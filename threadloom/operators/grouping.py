@@ -52,15 +52,15 @@ def thread_groups(rows: DataFrame, min_chars: int = 10) -> DataFrame:
 
 
 def _fold_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Anchors of one small island, row by row."""
-    pdf = pdf.sort_values(["last", "id"])
-    flags, anchor = [], None
-    for start, last in zip(pdf["start"], pdf["last"]):
-        joins = anchor is not None and 0 < last - anchor <= fv.ANCHOR_WINDOW_SECONDS
+    """Anchors of small islands, row by row; many islands come in one frame."""
+    pdf = pdf.sort_values([*CHANNEL, "island", "last", "id"])
+    flags, anchor, where = [], 0.0, None
+    for *place, start, last in zip(*(pdf[c] for c in [*CHANNEL, "island", "start", "last"])):
+        joins = place == where and 0 < last - anchor <= fv.ANCHOR_WINDOW_SECONDS
         if not joins:
-            anchor = start
+            anchor, where = start, place
         flags.append(not joins)
-    return pd.DataFrame({"id": pdf["id"], "is_start": flags})
+    return pdf[["id", *CHANNEL]].assign(is_start=flags)
 
 
 def _follow_links(rows: DataFrame) -> DataFrame:
@@ -111,21 +111,21 @@ def _starts(rows: DataFrame, island_rows: int) -> DataFrame:
     """``id, is_start`` for rows ``id, channel, island, start, last``."""
     key = [*CHANNEL, "island"]
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    hot = sizes.filter(F.col("n") > island_rows)
-    kinds = {n: rows.schema[n].dataType.simpleString() for n in ["id", *CHANNEL]}
-    schema = ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", is_start boolean"
+    total, longest = sizes.agg(F.sum("n"), F.max("n")).first()
+    schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in ["id", *CHANNEL])
+    # Islands are dealt out by hash into parts of about one island's limit.
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, (total or 0) // ISLAND_ROWS + 1)
 
-    def fold(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _fold_rows(pdf)
-        for name, value in zip(CHANNEL, k):
-            out[name] = value
-        return out[["id", *CHANNEL, "is_start"]]
+    def folded(some: DataFrame) -> DataFrame:
+        part = F.pmod(F.xxhash64(*key), F.lit(parts))
+        return some.groupBy(part.alias("part")).applyInPandas(_fold_rows, schema + ", is_start boolean")
 
-    if not hot.take(1):
-        return rows.groupBy(*key).applyInPandas(fold, schema)
-    small = rows.join(sizes.filter(F.col("n") <= island_rows).select(*key), key, "left_semi")
-    large = rows.join(hot.select(*key), key, "left_semi")
-    return small.groupBy(*key).applyInPandas(fold, schema).unionByName(_follow_links(cut_lineage(large)))
+    if (longest or 0) <= island_rows:
+        return folded(rows)
+    hot = sizes.filter(F.col("n") > island_rows).select(*key)
+    small = rows.join(hot, key, "left_anti")
+    large = rows.join(hot, key, "left_semi")
+    return folded(small).unionByName(_follow_links(cut_lineage(large)))
 
 
 def _numbered(rows: DataFrame, breaks: list[str], island_rows: int) -> DataFrame:
@@ -136,7 +136,10 @@ def _numbered(rows: DataFrame, breaks: list[str], island_rows: int) -> DataFrame
     """
     bucket = F.floor(F.col("last") / DAY).cast("long")
     order = F.struct("last", "id")
-    seen = previous(rows, CHANNEL, order, bucket, {"_last": "last", **{f"_{b}": b for b in breaks}})
+    # The cleaned texts are stored once; numbering works without them.
+    rows = cut_lineage(rows)
+    slim = rows.select("id", *CHANNEL, "start", "last", *breaks)
+    seen = previous(slim, CHANNEL, order, bucket, {"_last": "last", **{f"_{b}": b for b in breaks}})
     cut = F.col("_last").isNull() | (F.col("start") - F.col("_last") > fv.ANCHOR_WINDOW_SECONDS)
     for b in breaks:
         cut = cut | (F.col(b) != F.col(f"_{b}"))
@@ -144,8 +147,9 @@ def _numbered(rows: DataFrame, breaks: list[str], island_rows: int) -> DataFrame
                           F.col("_cut"), "island").drop("_cut", "_last", *[f"_{b}" for b in breaks])
     islands = cut_lineage(islands)
     flags = _starts(islands.select("id", *CHANNEL, "island", "start", "last"), island_rows)
-    joined = islands.join(flags, ["id", *CHANNEL])
-    return running_sum(joined, CHANNEL, [order], bucket, F.col("is_start").cast("int"), "group_no")
+    flagged = cut_lineage(islands.join(flags, ["id", *CHANNEL]).select("id", *CHANNEL, "last", "is_start"))
+    numbers = running_sum(flagged, CHANNEL, [order], bucket, F.col("is_start").cast("int"), "group_no")
+    return rows.join(numbers.select("id", *CHANNEL, "group_no"), ["id", *CHANNEL])
 
 
 def user_groups(rows: DataFrame, island_rows: int = ISLAND_ROWS) -> DataFrame:

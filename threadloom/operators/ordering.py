@@ -63,7 +63,7 @@ def previous(df: DataFrame, keys: list[str], order: Column, bucket: Column,
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                    slices: int = 256) -> DataFrame:
+                    slices: int = 64) -> DataFrame:
     """Exact interpolated quantiles per key, as columns ``q0, q1, …``, with ``n``.
 
     Equal values are counted first. Their counts are cut into slices of about equal size,

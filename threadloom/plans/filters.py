@@ -9,7 +9,7 @@ from threadloom.functions import dates, quality, text
 from threadloom.functions.text import WORD_SET, WS_SET
 from threadloom.plans import duck, fixtures
 from threadloom.plans.registry import query
-from threadloom.tables import table
+from threadloom.tables import spread, table
 
 # Texts of all kinds: prose, raw pages, JSON, and a table rule per source.
 SQL_SNIPPETS = """snippets AS (
@@ -20,8 +20,9 @@ SQL_SNIPPETS = """snippets AS (
 
 
 def snippets(spark, sf):
-    docs = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
-    pages = table(spark, sf, "pages").select(
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select(
+        F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    pages = spread(table(spark, sf, "pages").select("page_id", "html")).select(
         F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text"))
     props = table(spark, sf, "events").select(
         F.concat(F.lit("e"), "event_id").alias("id"), F.col("props").alias("text"))

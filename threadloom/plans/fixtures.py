@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.dates import epoch
-from threadloom.tables import table
+from threadloom.tables import spread, table
 
 AS_OF = "2024-02-01 00:00:00"
 AS_OF_EPOCH = 1706745600
@@ -28,7 +28,7 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("M"), F.col("conv_id"), F.lit("T"), F.col("turn") - 1)).otherwise("")
     base = F.concat(F.lit("http://archive.example.org/list/"), F.col("list_name"))
     return (
-        table(spark, sf_dir, "conversations")
+        spread(table(spark, sf_dir, "conversations"))
         .withColumn("list_name", F.expr(LISTS))
         .select(
             "conv_id", "turn",
@@ -78,7 +78,7 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(micros / 1000000).cast("string"), F.lit("."),
         F.lpad((micros % 1000000).cast("string"), 6, "0"))
     thread = F.concat((F.floor(micros / 3600000000) * 3600).cast("string"), F.lit(".000000"))
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         ts.alias("id"), ts.alias("ts"), F.expr(_CHAT_CASE).alias("message"),
         F.when(F.col("value") > 80, thread).alias("thread_ts"),
         F.concat(F.lit("C-"), "event_type").alias("channel_id"), F.lit("T1").alias("team_id"),
@@ -107,7 +107,7 @@ def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ _QUESTION = (
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (table(spark, sf_dir, "events")
+    return (spread(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"))
             .select(F.col("event_id").alias("query_id"), F.expr(_QUESTION).alias("query_text"))
             .unionByName(table(spark, sf_dir, "benchmark").select(
                 (-F.col("item_id") - 1).alias("query_id"), F.col("text").alias("query_text"))))

@@ -9,7 +9,7 @@ from threadloom.plans import duck, fixtures
 from threadloom.plans.registry import query
 from threadloom.plans.sources import SQL_CUES, transcripts, video_files
 from threadloom.sources import parsers
-from threadloom.tables import table
+from threadloom.tables import spread, table
 
 SQL_FILTERED = f"""{fixtures.SQL_CHAT},
 {duck.filter_message_ctes('chat', 'event_id', duck.strip("coalesce(message, '')"))},
@@ -91,7 +91,7 @@ def grp_gap_sessions(spark, sf):
 # --- chunking --------------------------------------------------------------------------
 @query("chunk_recursive")
 def chunk_recursive(spark, sf):
-    return chunking.recursive(table(spark, sf, "documents"), "doc_id")
+    return chunking.recursive(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id")
 
 
 @query("chunk_fixed_stride", """
@@ -117,7 +117,7 @@ def chunk_sentences(spark, sf):
 
 @query("chunk_windowed")
 def chunk_windowed(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", chunking.window_size(F.col("text")).alias("size"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "text", chunking.window_size(F.col("text")).alias("size"))
     return chunking.recursive(docs, "doc_id", size="size", overlap=50)
 
 

@@ -8,12 +8,12 @@ from threadloom import fixed_values as fv
 from threadloom.functions import dates, numbers, text
 from threadloom.plans import duck, fixtures
 from threadloom.plans.registry import query
-from threadloom.tables import table
+from threadloom.tables import spread, table
 
 
 @query("str_clean_text", f"SELECT doc_id, {duck.clean_text('text')} AS cleaned FROM documents")
 def str_clean_text(spark, sf):
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", text.clean_text(F.col("text")).alias("cleaned"))
 
 
@@ -23,7 +23,7 @@ d AS (SELECT conv_id, turn, {duck.drop_phrases('l')} AS d FROM l)
 SELECT conv_id, turn, CASE WHEN len({duck.words('d')}) > 3 THEN {duck.strip('d')} ELSE '' END AS kept
 FROM d""")
 def str_filter_sentence(spark, sf):
-    return table(spark, sf, "conversations").select(
+    return spread(table(spark, sf, "conversations").select("conv_id", "turn", "text")).select(
         "conv_id", "turn", text.filter_sentence(F.col("text")).alias("kept"))
 
 
@@ -44,7 +44,7 @@ def str_filter_message(spark, sf):
 
 @query("str_strip_html", f"SELECT page_id, {duck.strip_html('html')} AS plain FROM pages")
 def str_strip_html(spark, sf):
-    return table(spark, sf, "pages").select(
+    return spread(table(spark, sf, "pages").select("page_id", "html")).select(
         "page_id", text.strip_html(F.col("html")).alias("plain"))
 
 
@@ -52,7 +52,7 @@ def str_strip_html(spark, sf):
 WITH t AS (SELECT page_id, {duck.html_text('html')} AS content FROM pages)
 SELECT page_id, content FROM t WHERE length(content) > 50""")
 def str_html_text(spark, sf):
-    return (table(spark, sf, "pages")
+    return (spread(table(spark, sf, "pages").select("page_id", "html"))
             .select("page_id", text.html_text(F.col("html")).alias("content"))
             .filter(F.length("content") > 50))
 
@@ -194,7 +194,7 @@ SELECT event_id, round((CASE event_id % {len(_FORMATS)} {' '.join(
 FROM events""")
 def dt_parse_any(spark, sf):
     written = _written(F.col("ts").cast("timestamp"))
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events").select("event_id", "ts")).select(
         "event_id", F.round(dates.epoch_from_date(written), 6).alias("epoch"),
         F.substring(dates.date_to_iso(written), 1, 19).alias("iso"))
 

@@ -10,12 +10,12 @@ from threadloom.functions.quality import is_valid_chunk
 from threadloom.functions.text import clean_text, strip
 from threadloom.operators import bm25, chunking, dense, fusion
 from threadloom.plans import fixtures
-from threadloom.tables import table
+from threadloom.tables import spread, table
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned documents in overlapping chunks, valid ones only, with stable ids."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select(
         "doc_id", F.col("lang").alias("namespace"), clean_text(F.col("text")).alias("text"))
     cut = chunking.fixed_stride(docs, "doc_id").join(docs.select("doc_id", "namespace"), "doc_id")
     body = strip(F.col("chunk"))

@@ -7,3 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Put a scan with fewer splits than cores on all cores, for work that is heavy per row.
+
+    A table of many files or row groups has splits enough and is left as it is. Takes a
+    plain scan, projected to the columns needed.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
