@@ -82,9 +82,9 @@ def _follow_links(rows: DataFrame) -> DataFrame:
     later = Window.partitionBy(*key, "block").orderBy(F.desc("at"), "kind").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumn("inside", F.last(F.when(F.col("kind") == 1, F.col("at")), True).over(later))
-    blocks = marks.groupBy(*key, place(F.col("at")).alias("block")).agg(F.min("at").alias("first"))
-    ahead = Window.partitionBy(*key).orderBy("block")
-    following = blocks.select(*key, "block", F.lead("first").over(ahead).alias("following"))
+    blocks = both.groupBy(*key, "block").agg(F.min(F.when(F.col("kind") == 1, F.col("at"))).alias("first"))
+    ahead = Window.partitionBy(*key).orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    following = blocks.select(*key, "block", F.first("first", ignorenulls=True).over(ahead).alias("following"))
     links = cut_lineage(
         seen.filter("kind = 0").join(following, [*key, "block"], "left")
         .select(*key, "node", F.coalesce("inside", "following").alias("next")))

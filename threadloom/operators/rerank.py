@@ -93,6 +93,7 @@ def drop_near_duplicates(candidates: DataFrame, vectors: DataFrame, limit: float
     By default any better-ranked row counts; ``greedy`` compares with kept rows only.
     """
     rows = candidates.join(vectors, "doc_id")
+    columns = list(candidates.columns)
     if greedy:
         def keep(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("rank")
@@ -101,14 +102,14 @@ def drop_near_duplicates(candidates: DataFrame, vectors: DataFrame, limit: float
             for at in range(len(pdf)):
                 if not kept or np.round(unit[kept] @ unit[at], 6).max() < limit:
                     kept.append(at)
-            return pdf.iloc[kept][list(candidates.columns)]
+            return pdf.iloc[kept][columns]
 
         return rows.groupBy("query_id").applyInPandas(keep, candidates.schema)
     # The better-ranked rows of a query travel with each row as one bounded array.
     ahead = F.collect_list(F.struct("doc_id", "vec")).over(
         Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
     close = F.exists("_ahead", lambda a: F.round(cosine(a["vec"], F.col("vec")), 6) >= limit)
-    return rows.withColumn("_ahead", ahead).filter(~close).select(*candidates.columns)
+    return rows.withColumn("_ahead", ahead).filter(~close).select(*columns)
 
 
 def authority(candidates: DataFrame, messages: DataFrame, sender_weight: float = 0.2,
