@@ -38,6 +38,13 @@ AUTHOR_SITES = [
 ]
 DEFAULT_SITE = "https://example.com"
 
+# --- fixed values: addresses results are cited by ------------------------------
+MAIL_ADDRESS = "https://lists.boost.org/archives/list/"
+CHAT_ADDRESS = "https://app.slack.com/"
+PAPER_ADDRESS = "https://wg21.link/"
+VIDEO_ADDRESS = "https://www.youtube.com/watch?v="
+PAPER_PREFIX = "wg21/"
+
 # --- fixed values: paper numbers, tried in this order, ignoring case ----------
 PAPER_NUMBER_PATTERNS = [
     r"Document number[:\s]+([PN]\d+[A-Z]?\d*)",

@@ -66,10 +66,10 @@ def paper_number(c: Column) -> Column:
 def paper_id(url: Column, path: Column, number: Column) -> Column:
     from_url = null_if_empty(F.regexp_extract(url, r"/([PN]\d{4}[A-Z]?\d*)", 1))
     return F.coalesce(
-        F.concat(F.lit("wg21/"), number),
-        F.concat(F.lit("wg21/"), from_url),
+        F.concat(F.lit(fv.PAPER_PREFIX), number),
+        F.concat(F.lit(fv.PAPER_PREFIX), from_url),
         null_if_empty(url),
-        F.concat(F.lit("wg21/"), file_stem(path)))
+        F.concat(F.lit(fv.PAPER_PREFIX), file_stem(path)))
 
 
 def author_site(c: Column) -> Column:
@@ -84,10 +84,10 @@ def reference_url(namespace: Column, doc_id: Column, url: Column, team: Column,
     """Address to cite a result by."""
     return (
         F.when(namespace == "mailing", F.concat(
-            F.lit("https://lists.boost.org/archives/list/"), doc_id, F.lit("/")))
+            F.lit(fv.MAIL_ADDRESS), doc_id, F.lit("/")))
         .when(namespace == "slack", F.concat(
-            F.lit("https://app.slack.com/"), team, F.lit("/"), channel, F.lit("/p"),
+            F.lit(fv.CHAT_ADDRESS), team, F.lit("/"), channel, F.lit("/p"),
             F.replace(doc_id, F.lit("."), F.lit(""))))
         .when(namespace == "wg21", F.coalesce(
-            null_if_empty(url), F.concat(F.lit("https://wg21.link/"), doc_id)))
+            null_if_empty(url), F.concat(F.lit(fv.PAPER_ADDRESS), doc_id)))
         .otherwise(F.coalesce(null_if_empty(url), doc_id)))

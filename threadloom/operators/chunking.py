@@ -93,15 +93,15 @@ def recursive(df: DataFrame, key: str, text: str = "text", size: int | str = 100
 
 
 def fixed_stride(df: DataFrame, key: str, text: str = "text", size: int = 1000,
-                 overlap: int = 200) -> DataFrame:
+                 overlap: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
     """Windows of ``size`` characters every ``size - overlap``; the last one ends the text."""
     step = size - overlap
     length = F.length(text)
     last = F.greatest(F.ceil((length - overlap) / step) - 1, F.lit(0)).cast("int")
     starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
     return (
-        df.filter(length > 0).select(key, F.col(text).alias("_t"), F.posexplode(starts).alias("chunk_no", "start_index"))
-        .select(key, "chunk_no", "start_index",
+        df.filter(length > 0).select(key, *keep, F.col(text).alias("_t"), F.posexplode(starts).alias("chunk_no", "start_index"))
+        .select(key, *keep, "chunk_no", "start_index",
                 F.substring(F.col("_t"), F.col("start_index") + 1, F.lit(size)).alias("chunk")))
 
 

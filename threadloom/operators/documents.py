@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom import fixed_values as fv
 from threadloom.functions import dates, ids, numbers, text
 from threadloom.functions.quality import long_enough
 from threadloom.functions.text import empty_if_null, null_if_empty, strip
@@ -130,7 +131,7 @@ def video_segments(chunks: DataFrame, meta: DataFrame, min_chars: int = 50) -> D
         .select(
             F.concat("video_id", F.lit("_"), F.col("i").cast("string")).alias("doc_id"),
             F.lit("youtube_video").alias("type"), "video_id",
-            F.concat(F.lit("https://www.youtube.com/watch?v="), "video_id", F.lit("&t="),
+            F.concat(F.lit(fv.VIDEO_ADDRESS), "video_id", F.lit("&t="),
                      F.col("start_time").cast("long").cast("string")).alias("url"),
             numbers.meta_text(F.col("channel_title")).alias("channel_title"),
             dates.epoch_from_date(F.col("published_at")).alias("published_at"),

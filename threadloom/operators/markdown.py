@@ -110,7 +110,7 @@ def video_files(meta: DataFrame, blocks: DataFrame, min_chars: int = 500) -> Dat
     label = lambda name, c: F.concat(F.lit(name + ": "), c)
     meta_lines = F.concat_ws(
         GLUE, label("channel_title", numbers.meta_text(F.col("channel_title"))),
-        label("url", F.concat(F.lit("https://www.youtube.com/watch?v="), "video_id")),
+        label("url", F.concat(F.lit(fv.VIDEO_ADDRESS), "video_id")),
         label("published_at", iso), label("duration_seconds", n("duration_seconds").cast("string")),
         label("view_count", n("view_count").cast("string")), label("like_count", n("like_count").cast("string")),
         label("description", F.replace(strip(empty_if_null(F.col("description"))), F.lit("\n"), F.lit(" "))),

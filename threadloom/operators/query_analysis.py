@@ -131,14 +131,13 @@ def feedback(queries: DataFrame, results: DataFrame, docs: DataFrame, top_n: int
     alphabetical order. A query with fewer than ``top_n`` results stays as it is."""
     from threadloom.operators.ranking import top_k
 
-    stop = F.array(*[F.lit(w) for w in fv.STOP_WORDS])
     token = F.regexp_extract_all(F.lower("text"), F.lit(f"[{WORD_SET}]{{2,}}"), F.lit(0))
     best = results.filter(F.col("rank") <= top_n)
     enough = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= top_n)
     counted = (
         best.join(enough, "query_id", "left_semi").join(docs, "doc_id")
         .select("query_id", F.explode(token).alias("doc_id"))
-        .filter(~F.array_contains(stop, F.col("doc_id")))
+        .filter(~F.col("doc_id").isin(fv.STOP_WORDS))
         .groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score")))
     added = top_k(counted, num_terms).groupBy("query_id").agg(
         F.array_join(F.array_sort(F.collect_list("doc_id")), " ").alias("added"))

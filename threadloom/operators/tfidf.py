@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom import fixed_values as fv
-from threadloom.functions.text import WORD_SET
+from threadloom.functions.text import WORD_SET, let
 from threadloom.operators.ranking import top_k
 
 
 def terms(c: Column) -> Column:
     """Words of two characters or more without stop words, then neighbouring pairs."""
-    stop = F.array(*[F.lit(w) for w in fv.STOP_WORDS])
     raw = F.regexp_extract_all(F.lower(c), F.lit(f"[{WORD_SET}]{{2,}}"), F.lit(0))
-    return F.transform(F.array(F.filter(raw, lambda w: ~F.array_contains(stop, w))), _with_pairs)[0]
+    return let(F.filter(raw, lambda w: ~w.isin(fv.STOP_WORDS)), _with_pairs)
 
 
 def _with_pairs(kept: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.ordering import row_number
+
 
 def recent_threads(mail: DataFrame, start: str, end: str, most: int = 5) -> DataFrame:
     """Threads with most messages between two ISO dates (``sent_at``)."""
@@ -27,12 +29,12 @@ def clusters(vectors: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
 def timeline(recent: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Recent and retrieved messages of each topic, once each, in order of time.
 
-    Both carry ``topic, msg_id, sent_at, url``; topics are few and their messages bounded
-    by the number retrieved and the recent window.
+    Both carry ``topic, msg_id, sent_at, url``. Positions are counted day by day, so a
+    topic that holds most messages does not end up in one task.
     """
     rows = recent.unionByName(retrieved).dropDuplicates(["topic", "msg_id"])
-    w = Window.partitionBy("topic").orderBy("sent_at", "msg_id")
-    return rows.withColumn("position", F.row_number().over(w).cast("long"))
+    day = F.coalesce(F.unix_date(F.substring("sent_at", 1, 10).try_cast("date")), F.lit(0))
+    return row_number(rows, ["topic"], [F.col("sent_at"), F.col("msg_id")], day, "position")
 
 
 def timeline_by_day(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from threadloom.functions.quality import is_valid_chunk
 from threadloom.functions.text import clean_text, strip
 from threadloom.operators import bm25, chunking, dense, fusion
 from threadloom.plans import fixtures
+from threadloom.session import stored
 from threadloom.tables import spread, table
 
 
@@ -17,7 +18,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned documents in overlapping chunks, valid ones only, with stable ids."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select(
         "doc_id", F.col("lang").alias("namespace"), clean_text(F.col("text")).alias("text"))
-    cut = chunking.fixed_stride(docs, "doc_id").join(docs.select("doc_id", "namespace"), "doc_id")
+    cut = chunking.fixed_stride(docs, "doc_id", keep=("namespace",))
     body = strip(F.col("chunk"))
     return cut.filter(is_valid_chunk(body)).select(
         chunk_record_id(F.col("doc_id").cast("string"), F.col("start_index"), body).alias("id"),
@@ -27,7 +28,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """All query texts against all chunks: keyword and dense lists, fused."""
     queries = fixtures.query_texts(spark, sf_dir)
-    pieces = chunks(spark, sf_dir)
+    # Every search reads the chunks several times, so they are written once.
+    pieces = stored(chunks(spark, sf_dir), "chunks", "namespace")
     keyword = bm25.bm25_corpus(queries, pieces.select(F.col("id").alias("doc_id"), "text"))
     # Vectors exist per document; each chunk answers with its document's vector.
     vectors = fixtures.vectors(spark, sf_dir).join(pieces.select("doc_id", "id"), "doc_id").select(
