@@ -49,9 +49,9 @@ def hop_expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, decay: float =
 
     After each hop a node keeps its best score only, which is all the next hop can use.
     """
-    links = both_ways(with_priors(edges).select("src", "dst", "prior")).groupBy("src", "dst").agg(
-        F.max("prior").alias("prior"))
-    best = seeds.select("query_id", "doc_id", "score", F.lit(0).alias("hop"))
+    links = cut_lineage(both_ways(with_priors(edges).select("src", "dst", "prior")).groupBy("src", "dst").agg(
+        F.max("prior").alias("prior")))
+    best = cut_lineage(seeds.select("query_id", "doc_id", "score", F.lit(0).alias("hop")))
     frontier = best
     for hop in range(1, hops + 1):
         frontier = (
@@ -59,6 +59,8 @@ def hop_expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, decay: float =
             .groupBy("query_id", F.col("dst").alias("doc_id"))
             .agg(F.max(F.col("score") * decay * F.col("prior")).alias("score"))
             .withColumn("hop", F.lit(hop)))
+        # The last frontier is read once only.
+        frontier = cut_lineage(frontier) if hop < hops else frontier
         best = best.unionByName(frontier)
     top = best.groupBy("query_id", "doc_id").agg(F.max(F.struct("score", -F.col("hop"))).alias("b"))
     return ranked(top.select("query_id", "doc_id", F.round("b.score", 6).alias("score")), "query_id")

@@ -77,7 +77,8 @@ def route_weights(spark: SparkSession) -> DataFrame:
 def route(df: DataFrame) -> DataFrame:
     found = df.withColumn("_i", intent(F.col("query_text"))).select(
         *df.columns, F.col("_i.intent").alias("intent"), F.col("_i.confidence").alias("confidence"))
-    return found.join(F.broadcast(route_table(df.sparkSession)), "intent")
+    # Every intent has a route; a left join keeps the rules from being run again for a filter.
+    return found.join(F.broadcast(route_table(df.sparkSession)), "intent", "left")
 
 
 def features(df: DataFrame) -> DataFrame:
