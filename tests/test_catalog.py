@@ -15,7 +15,8 @@ def con():
 
 @pytest.mark.parametrize("key", list(CATALOG))
 def test_query(spark, con, key):
-    assert check(con, spark, CATALOG[key], SF) is None
+    # On these small tables a result may be empty, if the SQL's is empty as well.
+    assert check(con, spark, CATALOG[key], SF) in (None, "EMPTY")
 
 
 def test_entry(spark):
