@@ -353,7 +353,8 @@ def rr_recency(spark, sf):
 SELECT query_id, doc_id, round(score * (0.7 + 0.3 * greatest(0.1, least(1.0, exp(-(({fixtures.AS_OF_EPOCH} - epoch_us(ts) / 1e6) / 86400.0) / 1800.0)))), 6) AS gen_score
 FROM dense JOIN events ON event_id = doc_id""")
 def rr_recency_blend(spark, sf):
-    rows = dense_hits(spark, sf).join(dated(spark, sf), "doc_id")
+    sent = table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), "ts")
+    rows = dense_hits(spark, sf).join(sent, "doc_id")
     age = (F.lit(float(fixtures.AS_OF_EPOCH)) - dates.epoch(F.col("ts"))) / 86400.0
     return rows.select("query_id", "doc_id", F.round(fusion.recency_blend(F.col("score"), age), 6).alias("gen_score"))
 
@@ -385,7 +386,8 @@ f AS (SELECT d.query_id, d.doc_id, d.score, d.rank, {duck.contains_any('t.text',
 g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r1 FROM f QUALIFY r1 <= 20),
 h AS (SELECT g.*, max(CASE WHEN r1 <= 5 THEN code ELSE false END) OVER (PARTITION BY g.query_id) OR {duck.contains_any('b.text', fv.CODE_MARKERS)} AS rescored FROM g JOIN benchmark b ON b.item_id = g.query_id)
 SELECT query_id, doc_id, CASE WHEN rescored THEN late ELSE score END AS score, rescored,
-  row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rescored THEN late ELSE score END DESC, doc_id) AS rank FROM h QUALIFY rank <= 5""")
+  final_rank AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rescored THEN late ELSE score END DESC, doc_id) AS final_rank FROM h)
+WHERE final_rank <= 5""")
 def rr_two_stage(spark, sf):
     hits = dense_hits(spark, sf)
     # The texts hold no program code; short ones with a common syllable stand in for it.
