@@ -37,14 +37,8 @@ def norm(v: object) -> object:
     return str(v)
 
 
-KIND = {"string": "s", "bigint": "i", "int": "i", "smallint": "i", "double": "f", "float": "f",
-        "boolean": "b", "timestamp": "t", "timestamp_ntz": "t", "date": "d"}
-DKIND = {"VARCHAR": "s", "BIGINT": "i", "INTEGER": "i", "DOUBLE": "f", "FLOAT": "f",
-         "BOOLEAN": "b", "TIMESTAMP": "t", "DATE": "d"}
-
-
-def kinds_spark(df) -> dict:
-    return {n: ("bigint" if t == "bigint" else t) for n, t in df.dtypes}
+SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN"}
 
 
 def check(con, spark, entry, sf_dir: str) -> str | None:
@@ -61,12 +55,8 @@ def check(con, spark, entry, sf_dir: str) -> str | None:
     order = [names.index(c) for c in cols]
     want = sorted(tuple(norm(r[i]) for i in order) for r in res.fetchall())
     for c, t in df.dtypes:
-        d = types[c]
-        exact = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
-                 "boolean": "BOOLEAN"}.get(t)
-        if exact and d not in (exact, {"BIGINT": "NUMBER", "VARCHAR": "STRING", "DOUBLE": "NUMBER",
-                                       "INTEGER": "NUMBER", "BOOLEAN": "bool"}.get(exact)):
-            return f"type of {c}: {t} != {d}"
+        if t in SAME_TYPE and types[c] != SAME_TYPE[t]:
+            return f"type of {c}: {t} != {types[c]}"
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}"
     a, b = Counter(got), Counter(want)

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom import fixed_values as fv
 from threadloom.operators.ordering import exact_quantiles
 
 
@@ -115,11 +114,3 @@ def subject_overlap(topics: DataFrame) -> DataFrame:
     sets = topics.groupBy("subject").agg(
         F.array_join(F.array_sort(F.collect_set("method")), "+").alias("methods"))
     return sets.groupBy("methods").agg(F.count(F.lit(1)).alias("subjects"))
-
-
-def alerts(rows: DataFrame) -> DataFrame:
-    """Flags for slow, badly cached and failing windows."""
-    return rows.select(
-        "*", (F.col("mean_ms") > fv.ALERT_LATENCY_MS).alias("high_latency"),
-        (F.col("hit_rate") < fv.ALERT_HIT_RATE).alias("low_hit_rate"),
-        (F.col("error_rate") > fv.ALERT_ERROR_RATE).alias("high_error_rate"))
