@@ -44,3 +44,17 @@ def op4(spark, sf_dir):
     from threadloom.llm.quality import quality
 
     return quality(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+@op("op6_token_counts")
+def op6(spark, sf_dir):
+    from threadloom.llm.wordpieces import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+@op("op5_hierarchical_packing")
+def op5(spark, sf_dir):
+    from threadloom.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"))

@@ -55,7 +55,7 @@ class Memo(dict):
     """Computes missing values for many keys at once. Emptied when it holds ``most`` entries,
     so that its size is bounded while frequent keys return at once."""
 
-    def __init__(self, compute: Callable[[list], list], most: int = 200_000):
+    def __init__(self, compute: Callable[[list], list], most: int = 300_000):
         super().__init__()
         self.compute, self.most = compute, most
 
