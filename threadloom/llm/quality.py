@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import BLANK
 
-# Rows read to order the rules. Only the order depends on them.
-SAMPLE_ROWS = 2_000
+# The first rows of at most this length are read to order the rules. Only the order depends on them.
+SAMPLE_ROWS = 1_000
+SAMPLE_CHARS = 50_000
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -192,11 +193,13 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 def judged(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """``docs`` with ``__q_base`` and ``__q_rejected_by``: null where the document is kept.
 
-    ``order`` fixes the order of the rules; without it, it is estimated on the first SAMPLE_ROWS rows.
+    ``order`` fixes the order of the rules; without it, it is estimated on the first SAMPLE_ROWS rows,
+    which come through the driver so that their texts are not shuffled.
     """
     rules = standard_rules(F.col("text"), {name: F.col(f"__q_base.{name}") for name in BASE})
     if order is None:
-        order = cascade_order(measured(docs.select("text").limit(SAMPLE_ROWS)), rules)
+        rows = docs.select("text").filter(F.length("text") <= SAMPLE_CHARS).limit(SAMPLE_ROWS).toArrow()
+        order = cascade_order(measured(docs.sparkSession.createDataFrame(rows)), rules)
     n, repeated = F.col("__q_base.n_words"), F.col("__q_base.n_repeat_words")
     failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEATED_PERCENT * n)
     return measured(docs).withColumn(
