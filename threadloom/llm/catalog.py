@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threadloom.session import prepare
 from threadloom.tables import table
@@ -58,3 +59,13 @@ def op5(spark, sf_dir):
     from threadloom.llm.packing import packed
 
     return packed(table(spark, sf_dir, "documents"))
+
+
+@op("op9_byte_bpe")
+def op9(spark, sf_dir):
+    from threadloom.llm.byte_bpe import encoded
+
+    return encoded(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
