@@ -77,3 +77,10 @@ def op2(spark, sf_dir):
 
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@op("op1_toxicity_crf")
+def op1(spark, sf_dir):
+    from threadloom.llm.toxicity import toxic_scores
+
+    return toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
