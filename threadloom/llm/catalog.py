@@ -84,3 +84,10 @@ def op1(spark, sf_dir):
     from threadloom.llm.toxicity import toxic_scores
 
     return toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@op("op8_site_style_tree")
+def op8(spark, sf_dir):
+    from threadloom.llm.html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
