@@ -91,3 +91,10 @@ def op8(spark, sf_dir):
     from threadloom.llm.html import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@op("op3_backoff_automaton")
+def op3(spark, sf_dir):
+    from threadloom.llm.language_model import scores
+
+    return scores(table(spark, sf_dir, "documents"))
