@@ -98,3 +98,11 @@ def op3(spark, sf_dir):
     from threadloom.llm.language_model import scores
 
     return scores(table(spark, sf_dir, "documents"))
+
+
+@op("op10_hash_forest")
+def op10(spark, sf_dir):
+    from threadloom.llm.hash_forest import nearest
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return nearest(vectors, vectors.filter("vec_id % 50 = 0"))
