@@ -106,3 +106,14 @@ def op10(spark, sf_dir):
 
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+# The key of the registered query, so that its results can be checked; a real run brings its own.
+DEMO_KEY = b"registered query"
+
+
+@op("op7_feistel_pseudonyms")
+def op7(spark, sf_dir):
+    from threadloom.llm.pseudonyms import pseudonyms
+
+    return pseudonyms(table(spark, sf_dir, "documents"), DEMO_KEY)
