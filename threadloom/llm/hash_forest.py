@@ -98,7 +98,9 @@ def search(rows: pa.Table, queries: pa.Table, k: int, trees: int, bits: int, sha
         forest = HashForest(data, trees, bits)
         norms = np.sqrt((data * data).sum(1))
         keys = hashes(asked, trees, bits)
-        enough = max(2 * k + 1, math.ceil(share * len(data)))
+        # a row is counted once per tree at most, so this many places hold k rows of other ids
+        same = int(np.unique(ids, return_counts=True)[1].max())
+        enough = max(trees * (k + same), math.ceil(share * len(data)))
         step = max(1, PAIRS // len(data))
         for at in range(0, len(asked), step):
             query, row = forest.candidates(keys[at : at + step], enough)
