@@ -19,7 +19,7 @@ nothing to learn, and every score is the share of toxic rows (0 without labels).
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,8 +32,8 @@ from threadloom.llm.common import Memo, byte_lengths, held_out, slices
 
 FOLDS = 5
 # Bounds of the training sample: rows of each class, and characters of a row that is taken.
-SAMPLE_PER_CLASS = 3_000
-SAMPLE_CHARS = 20_000
+SAMPLE_PER_CLASS = 1_500
+SAMPLE_CHARS = 8_000
 COVER = 8
 SEQUENCE = 32
 SEQUENCES = 16_000
@@ -154,28 +154,21 @@ class Field:
         return 1 / (1 + np.exp(-(a + x[:, 0] * b + x[:, 1] * c)))
 
 
-def find_evidence(docs: list[set[str]], toxic: np.ndarray) -> set[str]:
+def find_evidence(docs: list[np.ndarray], toxic: np.ndarray, size: int) -> np.ndarray:
     """Features that explain the toxic documents: again and again the one whose documents, among the
     toxic ones still open and all clean ones, are toxic most significantly.
 
-    A document is closed by COVER features, so that words which merely stand in many copies of a
-    toxic document cannot all be taken, while documents with several toxic words show them all.
+    ``docs`` holds each document's distinct features, numbers below ``size``. A document is closed by
+    COVER features, so that words which merely stand in many copies of a toxic document cannot all be
+    taken, while documents with several toxic words show them all.
     """
-    counts = Counter(f for names, label in zip(docs, toxic) if label for f in names)
-    index = {f: k for k, f in enumerate(f for f, c in counts.items() if c >= 3)}
-    rows = [np.array([index[f] for f in names if f in index], np.int64) for names in docs]
-    size = len(index)
     hits, false = np.zeros(size), np.zeros(size)
-    for row, label in zip(rows, toxic):
+    for row, label in zip(docs, toxic):
         (hits if label else false)[row] += 1
-    holders: dict[int, list[int]] = {}
-    for k, (row, label) in enumerate(zip(rows, toxic)):
-        if label:
-            for f in row.tolist():
-                holders.setdefault(f, []).append(k)
+    candidates = hits >= 3
     left, clean = int(toxic.sum()), int((~toxic).sum())
-    names, chosen, open_ = list(index), [], np.where(toxic, COVER, 0)
-    limit = 2 * np.log(max(2, size)) + 6
+    chosen, open_ = [], np.where(toxic, COVER, 0)
+    limit = 2 * np.log(max(2, int(candidates.sum()))) + 6
 
     def part(k, row, column):
         return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) * (left + clean) / np.maximum(row * column, 1e-9)), 0.0)
@@ -184,18 +177,20 @@ def find_evidence(docs: list[set[str]], toxic: np.ndarray) -> set[str]:
         with_, without = hits + false, left + clean - hits - false
         ratio = 2 * (part(hits, with_, left) + part(false, with_, clean)
                      + part(left - hits, without, left) + part(clean - false, without, clean))
-        ratio[(hits / left) < 8 * (false + 0.5) / max(1, clean)] = 0.0
+        ratio[~candidates | ((hits / left) < 8 * (false + 0.5) / max(1, clean))] = 0.0
         ratio[chosen] = 0.0
         best = int(ratio.argmax())
         if ratio[best] <= limit:
             break
         chosen.append(best)
-        for k in holders[best]:
-            open_[k] -= 1
-            if open_[k] == 0:
-                hits[rows[k]] -= 1
-                left -= 1
-    return {names[k] for k in chosen}
+        for k in np.flatnonzero(open_):
+            at = np.searchsorted(docs[k], best)
+            if at < len(docs[k]) and docs[k][at] == best:
+                open_[k] -= 1
+                if open_[k] == 0:
+                    hits[docs[k]] -= 1
+                    left -= 1
+    return np.array(chosen, np.int64)
 
 
 def _forward_backward(e: np.ndarray, mask: np.ndarray, trans: np.ndarray, start: float):
@@ -230,34 +225,44 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field:
         return model
     first = {text: k for k, text in reversed(list(enumerate(texts)))}  # copies teach nothing new
     texts, toxic = list(first), toxic[list(first.values())]
-    docs = [text.lower().split() for text in texts]
-    known = {w: features(w) for w in set().union(*docs)}
-    evidence = find_evidence([set().union(*[known[w] for w in set(d)]) if d else set() for d in docs], toxic)
-    marked = {w for w, names in known.items() if not evidence.isdisjoint(names)}
+    vocabulary, names = defaultdict(), defaultdict()
+    vocabulary.default_factory, names.default_factory = vocabulary.__len__, names.__len__
+    docs = [np.array([vocabulary[w] for w in text.lower().split()], np.int64) for text in texts]
+    parts = [[names[f] for f in features(w)] for w in vocabulary]  # numbers of each word's features
+    ends = np.cumsum([0, *map(len, parts)])
+    flat = np.array([f for part in parts for f in part], np.int64)
+    del parts
+
+    def features_of(words: np.ndarray) -> np.ndarray:
+        """Features of all these words, one word after the other."""
+        count = ends[words + 1] - ends[words]
+        return flat[np.repeat(ends[words + 1] - np.cumsum(count), count) + np.arange(count.sum())]
+
+    evidence = find_evidence([np.unique(features_of(np.unique(d))) for d in docs], toxic, len(names))
+    owner = np.repeat(np.arange(len(vocabulary)), np.diff(ends))
+    marked = np.zeros(len(vocabulary), bool)
+    marked[owner[np.isin(flat, evidence)]] = True
 
     # labelled sequences: all that hold a toxic token, then others in turn over the documents
     hot, cold = [], []
     for words, label in zip(docs, toxic):
         for at in range(0, len(words), SEQUENCE):
             part = words[at : at + SEQUENCE]
-            tags = [label and w in marked for w in part]
-            (hot if any(tags) else cold).append((part, tags))
+            (hot if label and marked[part].any() else cold).append((part, bool(label)))
     rng = np.random.default_rng(7)
     hot = [hot[k] for k in rng.permutation(len(hot))[: SEQUENCES // 2]]
-    cold = [cold[k] for k in rng.permutation(len(cold))[: SEQUENCES - len(hot)]]
-    chosen = hot + cold
-    seen = Counter(f for part, _ in chosen for w in part for f in known[w])
-    index = {f: k for k, f in enumerate(f for f, c in seen.items() if c >= 3)}
+    chosen = hot + [cold[k] for k in rng.permutation(len(cold))[: SEQUENCES - len(hot)]]
     n = len(chosen)
     mask, y = np.zeros((n, SEQUENCE), bool), np.zeros((n, SEQUENCE))
-    cell, feat = [], []
-    for k, (part, tags) in enumerate(chosen):
-        mask[k, : len(part)], y[k, : len(part)] = True, tags
-        for t, w in enumerate(part):
-            ids = [index[f] for f in known[w] if f in index]
-            feat.extend(ids)
-            cell.extend([k * SEQUENCE + t] * len(ids))
-    cell, feat = np.array(cell, np.int64), np.array(feat, np.int64)
+    for k, (part, label) in enumerate(chosen):
+        mask[k, : len(part)], y[k, : len(part)] = True, label & marked[part]
+    words = np.concatenate([part for part, _ in chosen])
+    cell = np.repeat(np.flatnonzero(mask.reshape(-1)), ends[words + 1] - ends[words])
+    feat = features_of(words)
+    seen = np.bincount(feat, minlength=len(names)) >= 3
+    number = np.cumsum(seen) - 1
+    cell, feat = cell[seen[feat]], number[feat[seen[feat]]]
+    index = [f for f, used in zip(names, seen) if used]
     pair_seen = np.zeros((2, 2))
     yi = y.astype(int)
     np.add.at(pair_seen, (yi[:, :-1][mask[:, 1:]], yi[:, 1:][mask[:, 1:]]), 1)
@@ -274,11 +279,12 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field:
                  gap[:, 0].sum() / total, (pairs - pair_seen) / total]
         sums = [q + g * g for q, g in zip(sums, grads)]
         w, b, s, trans = (x - 0.5 * g / np.sqrt(q) for x, g, q in zip((w, b, s, trans), grads, sums))
-    model.weights = {f: float(w[k]) for f, k in index.items() if abs(w[k]) > 0.05}
+    model.weights = {f: float(w[k]) for k, f in enumerate(index) if abs(w[k]) > 0.05}
     model.bias, model.start, model.trans = float(b), float(s), trans
 
-    scores = {word: model.emission(word) for word in known}
-    x = model.evidence(model.marginals([np.array([scores[w] for w in d]) for d in docs]))
+    scores = np.array(model.emissions(list(vocabulary)))
+    x = np.concatenate([model.evidence(model.marginals([scores[d] for d in docs[at : at + 500]]))
+                        for at in range(0, len(docs), 500)])
     x1 = np.column_stack([np.ones(len(x)), x])
     theta = np.zeros(3)
     ridge = np.diag([1e-3, 1e-1, 1e-1])
