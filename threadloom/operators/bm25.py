@@ -47,7 +47,7 @@ def bm25_corpus(queries: DataFrame, docs: DataFrame, k: int = 50, k1: float = K1
     """
     terms = query_terms(queries, tokens(F.col("query_text")))
     split = docs.select("doc_id", tokens(F.col("text")).alias("toks"))
-    few = None if strategy == "join" else bounded_rows(terms, 64)
+    few = None if strategy == "join" else bounded_rows(terms)
     if few is not None and few["term"].nunique() * few["query_id"].nunique() > 2 * CELLS:
         few = None
     if few is None:
@@ -110,7 +110,8 @@ def _by_broadcast(few: pd.DataFrame, terms: DataFrame, split: DataFrame, k: int,
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, weights = shared.value
-        best = Best(len(query_ids), k, 1e-12)
+        best = Best(len(query_ids), k, None)
+        holds = (weights > 0).astype(float)
         types = None
         for batch in batches:
             types = batch.schema
@@ -124,8 +125,9 @@ def _by_broadcast(few: pd.DataFrame, terms: DataFrame, split: DataFrame, k: int,
                                  minlength=size * len(weights)).reshape(size, -1).astype(float)
                 base = k1 * (1.0 - b + b * lens[start:start + size, None] / mean)
                 scores = np.round((tf * (k1 + 1.0) / (tf + base)) @ weights, 6)
+                matched = tf @ holds > 0  # however little a frequent term adds
                 for q in range(len(query_ids)):
-                    best.offer(q, ids[start:start + size], scores[:, q])
+                    best.offer(q, ids[start:start + size][matched[:, q]], scores[matched[:, q], q])
         for query_id, ids, scores in best.rows(query_ids):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([query_id] * len(ids)), pa.array(ids, type=types.field(0).type),
@@ -188,7 +190,7 @@ def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = 50) -> DataFrame:
     """
     terms = queries.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("terms"),
                            F.lower("query_text").alias("phrase")).filter(F.size("terms") > 0)
-    few = bounded_rows(terms, 4096)
+    few = bounded_rows(terms)
     schema = (f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
               f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     split = docs.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("toks"),
@@ -214,7 +216,7 @@ def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = 50) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, member, query_ids, phrases, sizes = shared.value
-        best = Best(len(query_ids), k, 1e-12)
+        best = Best(len(query_ids), k, None)
         types = None
         for batch in batches:
             types = batch.schema
@@ -227,6 +229,7 @@ def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = 50) -> DataFrame:
                 present = np.bincount((rows[here] - start) * len(member) + cols[here],
                                       minlength=size * len(member)).reshape(size, -1).astype(float)
                 scores = present @ member
+                matched = scores > 0
                 lows = batch.column(2).slice(start, size)
                 for q, phrase in enumerate(phrases):
                     full = (scores[:, q] > 0) & (scores[:, q] >= 1.0 - 2.0 / sizes[q] - 1e-9)
@@ -234,7 +237,7 @@ def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = 50) -> DataFrame:
                         has = pc.match_substring(lows.filter(pa.array(full)), phrase)
                         at = np.flatnonzero(full)
                         scores[at, q] += 0.1 * pc.fill_null(has, False).to_numpy(zero_copy_only=False)
-                    best.offer(q, ids[start:start + size], np.round(scores[:, q], 6))
+                    best.offer(q, ids[start:start + size][matched[:, q]], np.round(scores[matched[:, q], q], 6))
         for query_id, ids, scores in best.rows(query_ids):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([query_id] * len(ids)), pa.array(ids, type=types.field(0).type),

@@ -11,21 +11,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators.ranking import top_k
-from threadloom.session import BROADCAST_LIMIT_BYTES
+from threadloom.session import BROADCAST_LIMIT_BYTES, measured_bytes
 
 CELLS = 4_000_000  # scores held at once in a task
 
 
-def bounded_rows(df: DataFrame, row_bytes: int,
-                 limit: int = BROADCAST_LIMIT_BYTES) -> pd.DataFrame | None:
-    """The rows, if they fit the broadcast limit; otherwise None."""
-    most = max(1, limit // row_bytes)
-    rows = df.limit(most + 1).toPandas()
-    return rows if len(rows) <= most else None
+def bounded_rows(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> pd.DataFrame | None:
+    """The rows, if their measured size is within the limit; otherwise None."""
+    return df.toPandas() if measured_bytes(df) <= limit else None
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -98,12 +96,13 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 50, threshold: fl
 
     queries: ``query_id, query_vec`` · chunks: ``doc_id, vec``; both carry the column
     named by ``within`` when results must share it. Few queries are broadcast; more are
-    spread over a grid of query and chunk blocks.
+    spread over a grid of query and chunk blocks. A query meets the chunks whose vectors
+    are as long as its own, and no others.
     """
     extra = [within] if within else []
     queries = queries.filter("query_vec IS NOT NULL").select("query_id", "query_vec", *extra)
     chunks = chunks.filter("vec IS NOT NULL").select("doc_id", "vec", *extra)
-    few = None if strategy == "grid" else bounded_rows(queries, 8 * 1024)
+    few = None if strategy == "grid" else bounded_rows(queries)
     if few is not None:
         found = _with_broadcast(few, queries, chunks, k, threshold, within)
     else:
@@ -117,38 +116,48 @@ def _with_broadcast(few: pd.DataFrame, queries: DataFrame, chunks: DataFrame, k:
     spark = chunks.sparkSession
     if few.empty:
         return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast((
-        few["query_id"].to_numpy(),
-        unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in few["query_vec"]])),
-        few[within].to_numpy() if within else None))
-    dim = len(few["query_vec"].iloc[0])
+    groups = {}
+    for dim, part in few.groupby(few["query_vec"].map(len)):
+        groups[dim] = (part["query_id"].to_numpy(),
+                       unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in part["query_vec"]])),
+                       part[within].to_numpy() if within else None)
+    shared = spark.sparkContext.broadcast(groups)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, vectors, query_space = shared.value
-        best = Best(len(query_ids), k, threshold)
+        bests = {dim: Best(len(ids), k, threshold) for dim, (ids, _, _) in shared.value.items()}
         types = None
         for batch in batches:
             types = batch.schema
-            space = _np(batch.column(2)) if within else None
-            offer_products(best, _np(batch.column(0)), _matrix(batch.column(1)), vectors,
-                           space, query_space)
-        for query_id, ids, scores in best.rows(query_ids):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([query_id] * len(ids)), pa.array(ids, type=types.field(0).type),
-                 pa.array(scores)], ["query_id", "doc_id", "score"])
+            lengths = pc.list_value_length(batch.column(1))
+            for dim, best in bests.items():
+                rows = batch.filter(pc.equal(lengths, dim))
+                _, vectors, query_space = shared.value[dim]
+                offer_products(best, _np(rows.column(0)), _matrix(rows.column(1)), vectors,
+                               _np(rows.column(2)) if within else None, query_space)
+        for dim, best in bests.items():
+            for query_id, ids, scores in best.rows(shared.value[dim][0]):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([query_id] * len(ids)), pa.array(ids, type=types.field(0).type),
+                     pa.array(scores)], ["query_id", "doc_id", "score"])
 
-    return chunks.filter(F.size("vec") == dim).mapInArrow(search, schema)
+    return chunks.mapInArrow(search, schema)
 
 
 def _on_grid(queries: DataFrame, chunks: DataFrame, k: int, threshold: float | None,
-             within: str | None, query_block: int = 2000, chunk_block: int = 100_000) -> DataFrame:
-    """Blocks are cut by a hash of the id, so a hot name space is spread like any other."""
-    q_blocks = max(1, -(-queries.count() // query_block))
-    c_blocks = max(1, -(-chunks.count() // chunk_block))
+             within: str | None, block_numbers: int = 4_000_000) -> DataFrame:
+    """Blocks are cut by a hash of the id, so a hot name space is spread like any other. A block
+    has about ``block_numbers`` components, however long the vectors are."""
+    def blocks(df: DataFrame, vec: str) -> int:
+        return max(1, -(-(df.agg(F.sum(F.size(vec))).first()[0] or 0) // block_numbers))
+
+    q_blocks, c_blocks = blocks(queries, "query_vec"), blocks(chunks, "vec")
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("_qb", block("query_id", q_blocks)).withColumn("_cb", every(c_blocks))
-    right = chunks.withColumn("_cb", block("doc_id", c_blocks)).withColumn("_qb", every(q_blocks))
+    left = queries.withColumn("_qb", block("query_id", q_blocks)).withColumn("_cb", every(c_blocks)).withColumn(
+        "_dim", F.size("query_vec"))
+    right = chunks.withColumn("_cb", block("doc_id", c_blocks)).withColumn("_qb", every(q_blocks)).withColumn(
+        "_dim", F.size("vec"))
+    cell = ["_qb", "_cb", "_dim"]
 
     def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -163,7 +172,7 @@ def _on_grid(queries: DataFrame, chunks: DataFrame, k: int, threshold: float | N
         return pd.concat(rows) if rows else pd.DataFrame(columns=["query_id", "doc_id", "score"])
 
     schema = f"{_ddl(queries, 'query_id')}, {_ddl(chunks, 'doc_id')}, score double"
-    return left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInPandas(search, schema)
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(search, schema)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -175,23 +184,23 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def ann_topk(queries: DataFrame, chunks: DataFrame, k: int = 50, cells: int = 100, probes: int = 8,
-             threshold: float | None = 0.3, seed: int = 42, sample_rows: int = 200_000) -> DataFrame:
+def ann_topk(queries: DataFrame, chunks: DataFrame, k: int = 50, cells: int | None = None,
+             probes: int | None = None, threshold: float | None = 0.3, seed: int = 42) -> DataFrame:
     """Approximate top-k: cluster the chunks, search the cells nearest to each query.
 
-    The cell centres are learnt on a bounded sample; every chunk is kept and searched
-    in its cell, with the exact kernel restricted to equal cells.
+    The cell centres are learnt on all chunks, as many cells as the root of their number
+    unless given, of which a twelfth is searched; every chunk is kept and searched in its
+    cell, with the exact kernel restricted to equal cells.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     chunks = chunks.filter("vec IS NOT NULL")
     total = chunks.count()
-    cells = max(1, min(cells, total))
-    share = min(1.0, sample_rows / max(1, total))
+    cells = max(1, min(cells or round(total ** 0.5), total))
+    probes = min(cells, probes or max(8, cells // 12))
     points = chunks.select("doc_id", "vec", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
-    train = points if share == 1.0 else points.sample(share, seed=seed)
-    model = KMeans(k=cells, seed=seed, maxIter=5).fit(train)
+    model = KMeans(k=cells, seed=seed, maxIter=5).fit(points)
     centres = model.clusterCenters()
     placed = model.transform(points).select("doc_id", "vec", F.col("prediction").alias("cell"))
     spark = chunks.sparkSession

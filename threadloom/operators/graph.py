@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom import fixed_values as fv
 from threadloom.operators.dense import cosine
-from threadloom.operators.ranking import ranked
+from threadloom.operators.ranking import ranked, top_k
 from threadloom.session import cut_lineage
 
 
@@ -44,24 +44,25 @@ def with_priors(edges: DataFrame) -> DataFrame:
     return edges.withColumn("prior", prior)
 
 
-def hop_expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, decay: float = fv.HOP_DECAY) -> DataFrame:
-    """Best score of a node over all paths of at most ``hops`` edges from a seed.
+def hop_expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, decay: float = fv.HOP_DECAY,
+               k: int = 50) -> DataFrame:
+    """The k nodes per query with the best score over all paths of at most ``hops`` edges from a seed.
 
-    After each hop a node keeps its best score only, which is all the next hop can use.
+    Scores shrink along a path, so a node outside the best k so far leads to none of the best k and
+    goes no further. After each hop a node keeps its best score only.
     """
     links = both_ways(with_priors(edges).select("src", "dst", "prior")).groupBy("src", "dst").agg(
         F.max("prior").alias("prior"))
-    best = seeds.select("query_id", "doc_id", "score", F.lit(0).alias("hop"))
-    frontier = best
+    best = top_k(seeds.select("query_id", "doc_id", "score", F.lit(0).alias("hop")), k)
     for hop in range(1, hops + 1):
-        frontier = (
-            frontier.join(links, frontier["doc_id"] == links["src"])
-            .groupBy("query_id", F.col("dst").alias("doc_id"))
-            .agg(F.max(F.col("score") * decay * F.col("prior")).alias("score"))
-            .withColumn("hop", F.lit(hop)))
-        best = best.unionByName(frontier)
-    top = best.groupBy("query_id", "doc_id").agg(F.max(F.struct("score", -F.col("hop"))).alias("b"))
-    return ranked(top.select("query_id", "doc_id", F.round("b.score", 6).alias("score")), "query_id")
+        reached = (
+            best.filter(F.col("hop") == hop - 1).join(links, F.col("doc_id") == F.col("src"))
+            .select("query_id", F.col("dst").alias("doc_id"), (F.col("score") * decay * F.col("prior")).alias("score"),
+                    F.lit(hop).alias("hop")))
+        both = best.drop("rank").unionByName(reached).groupBy("query_id", "doc_id").agg(
+            F.max(F.struct("score", -F.col("hop"))).alias("b"))
+        best = cut_lineage(top_k(both.select("query_id", "doc_id", "b.score", (-F.col("b.col2")).alias("hop")), k))
+    return ranked(best.select("query_id", "doc_id", F.round("score", 6).alias("score")), "query_id")
 
 
 def personalised_pagerank(seeds: DataFrame, edges: DataFrame, iterations: int = 20,
@@ -89,22 +90,27 @@ def personalised_pagerank(seeds: DataFrame, edges: DataFrame, iterations: int =
     return ranked(rank.select("query_id", "doc_id", F.round("mass", 6).alias("score")), "query_id")
 
 
-def reply_context(messages: DataFrame, depth: int = 5) -> DataFrame:
-    """Per message: number of children, ancestors within ``depth``, and the furthest one.
+def reply_context(messages: DataFrame) -> DataFrame:
+    """Per message: number of children, number of ancestors, and the topmost one (itself without any).
 
-    Ancestors are found by one join per level, so a long thread costs rounds, not memory.
+    Each round doubles how far every message looks up, so a thread of depth n takes log2(n) rounds
+    of one join. A parent that is no message ends the chain. Messages in a circle of parents have no
+    top; they keep the last one seen when all others have ended.
     """
     children = (messages.filter(F.col("parent_id") != "").groupBy(F.col("parent_id").alias("msg_id"))
                 .agg(F.count(F.lit(1)).alias("children")))
-    known = messages.select(F.col("msg_id").alias("ancestor"), F.col("parent_id").alias("next"))
-    frontier = messages.select("msg_id", F.col("parent_id").alias("ancestor"))
-    found = None
-    for hop in range(1, depth + 1):
-        step = frontier.join(known, "ancestor")
-        rows = step.select("msg_id", "ancestor", F.lit(hop).cast("long").alias("hop"))
-        found = rows if found is None else found.unionByName(rows)
-        frontier = step.select("msg_id", F.col("next").alias("ancestor"))
-    top = found.groupBy("msg_id").agg(F.max("hop").alias("ancestors"), F.max_by("ancestor", "hop").alias("top"))
+    known = messages.select(F.col("msg_id").alias("up")).distinct()
+    links = cut_lineage(messages.select("msg_id", F.col("parent_id").alias("up")).join(known, "up")
+                        .groupBy("msg_id").agg(F.min("up").alias("up")).withColumn("steps", F.lit(1).cast("long")))
+    rounds = max(1, links.count()).bit_length()
+    for _ in range(rounds):
+        further = links.select(F.col("msg_id").alias("up"), F.col("up").alias("above"), F.col("steps").alias("more"))
+        jumped = cut_lineage(links.join(further, "up", "left"))
+        links = jumped.select("msg_id", F.coalesce("above", "up").alias("up"),
+                              (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        if jumped.filter("above IS NOT NULL").isEmpty():
+            break
+    top = links.select("msg_id", F.col("up").alias("top"), F.col("steps").alias("ancestors"))
     return (messages.select("msg_id", "parent_id", "thread_id")
             .join(children, "msg_id", "left").join(top, "msg_id", "left")
             .select("msg_id", "parent_id", "thread_id", F.coalesce("children", F.lit(0)).alias("children"),

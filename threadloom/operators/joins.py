@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from threadloom.session import fits_broadcast
 
 
-def small_left_join(facts: DataFrame, dim: DataFrame, key: str, row_bytes: int = 256) -> DataFrame:
+def small_left_join(facts: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Left join to a dimension. It is broadcast only when its size was checked;
     otherwise the planner joins by key and splits skewed ones at run time."""
-    side = F.broadcast(dim) if fits_broadcast(dim, row_bytes) else dim
+    side = F.broadcast(dim) if fits_broadcast(dim) else dim
     return facts.join(side, key, "left")
 
 

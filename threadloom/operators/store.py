@@ -7,11 +7,14 @@ one marker row without an id, so that a partition that becomes empty is replaced
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.session import fits_broadcast, stored
+from threadloom.session import stored
 
 PLACE = ["namespace", "bucket"]
 
@@ -23,14 +26,21 @@ def last_per_id(incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
             .select(*keys, "_r.*").select(*incoming.columns))
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Semi or anti join by keys in which null equals null."""
+    right = right.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    match = [left[k].eqNullSafe(right[f"_{k}"]) for k in keys]
+    return left.join(right, reduce(and_, match), how)
+
+
 def upserted(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Existing rows without the incoming keys, and all incoming rows."""
-    kept = existing.join(incoming.select(*keys).distinct(), keys, "left_anti")
+    kept = null_safe(existing, incoming.select(*keys).distinct(), keys, "left_anti")
     return kept.unionByName(incoming)
 
 
 def without(existing: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    return existing.join(gone.select(*keys).distinct(), keys, "left_anti")
+    return null_safe(existing, gone.select(*keys).distinct(), keys, "left_anti")
 
 
 def split_valid(rows: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
@@ -80,8 +90,7 @@ class ChunkStore:
          .option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE).parquet(self.path))
 
     def _in(self, touched: DataFrame) -> DataFrame:
-        side = F.broadcast(touched) if fits_broadcast(touched, 128) else touched
-        return self._scan().join(side, PLACE, "left_semi").filter("id IS NOT NULL")
+        return null_safe(self._scan(), touched, PLACE, "left_semi").filter("id IS NOT NULL")
 
     def upsert(self, incoming: DataFrame, order: str) -> None:
         """Insert or replace by id; inside the batch the last row by ``order`` wins."""
@@ -107,8 +116,8 @@ class ChunkStore:
         """Replace all rows of the incoming documents, however many chunks each had."""
         new = stored(self._placed(incoming), "incoming")
         changed = new.select("namespace", document).distinct()
-        old = self._scan().filter("id IS NOT NULL").join(
-            changed, ["namespace", document], "left_semi").select(*PLACE)
+        old = null_safe(self._scan().filter("id IS NOT NULL"), changed, ["namespace", document],
+                        "left_semi").select(*PLACE)
         touched = stored(old.unionByName(new.select(*PLACE)).distinct(), "touched")
         kept = without(self._in(touched), changed, ["namespace", document])
         self._replace(touched, kept.select(*self.names, "bucket").unionByName(new.select(*self.names, "bucket")))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Broadcasts made by this library are allowed up to this many bytes of data.
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
@@ -34,13 +37,17 @@ def build_session(app: str = "threadloom", cores: str = "*", **conf: str) -> Spa
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on. Naive dates mean UTC everywhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is set."""
+    """The shared folder named by the cluster. Only a local session may go without one and gets a
+    folder of its own; elsewhere executors would each write to their own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="threadloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -68,10 +75,31 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
-    """True when ``df`` has few enough rows of ``row_bytes`` to be sent to every task.
-
-    Reads at most limit/row_bytes + 1 rows, so the check itself stays cheap.
-    """
-    most = max(1, limit // max(1, row_bytes))
-    return df.limit(most + 1).count() <= most
+def measured_bytes(df: DataFrame) -> int:
+    """Size of all rows, measured as JSON text, which is no smaller than what is sent."""
+    row = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+
+
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
+    """True when the rows of ``df`` are small enough to be sent to every task."""
+    return measured_bytes(df) <= limit
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per session, unless they run in this machine's
+    folder anyway. Workers then import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_threadloom_shipped", False):
+        return
+    context._threadloom_shipped = True
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="threadloom-ship-")  # the driver's own; Spark copies it
+    archive = os.path.join(folder, "threadloom_package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for where, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(where, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
