@@ -219,3 +219,8 @@ STOP_WORDS = [
     "here's", "how's", "let's", "ought", "that's", "there's", "what's", "when's", "where's",
     "who's", "why's", "would",
 ]
+
+# Subtitle files.
+CUE_ARROW = "-->"
+CUE_ROLLING = "align:start position:0%"
+CUE_TIMES = r"^(\d{2}:\d{2}:\d{2}\.\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}\.\d{3})"

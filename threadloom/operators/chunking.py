@@ -123,41 +123,45 @@ def semantic_breaks(sentences: DataFrame, doc: str, pos: str, vec: str = "vec",
                        ).drop("_new", "_prev")
 
 
-def _cue_windows(texts: list[str], size: int, overlap: int) -> list[tuple[int, int]]:
-    """(first, last) cue of each chunk. Starts and ends advance on their own."""
-    before, lead = [], 0
-    for t in texts:
-        before.append(lead)
-        lead += len(t)
-    starts, ends = [0], []
-    for at, t in enumerate(texts):
-        if before[at] - before[starts[-1]] > size - overlap:
-            starts.append(at)
-        if before[at] + len(t) - before[starts[len(ends)]] > size:
-            ends.append(at)
-        if len(ends) == len(starts):
-            # Only a cue longer than a whole chunk closes the newest start.
-            if at + 1 < len(texts):
-                starts.append(at + 1)
-    if len(ends) < len(starts):
-        ends.append(len(texts) - 1)
-    return list(zip(starts, ends))
-
-
 def cues(df: DataFrame, size: int = 900, overlap: int = 200) -> DataFrame:
     """Transcript cues ``video_id, pos, start_time, end_time, text`` to overlapping chunks.
 
-    A transcript is bounded by the length of its video, so one is folded in one task.
+    With running lengths, a chunk starts at the first cue and again wherever more than
+    ``size - overlap`` characters lie since the last start. It ends with the first cue that takes it
+    over ``size``, but after the end of the chunk before; the first that none takes over ends with the
+    last cue and closes the list.
+    A transcript is bounded by the length of its video, so one is one row.
     """
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        texts = list(pdf["text"])
-        rows = [(pdf["video_id"].iloc[0], i, pdf["start_time"].iloc[s], pdf["end_time"].iloc[e],
-                 " ".join(texts[s:e + 1])) for i, (s, e) in enumerate(_cue_windows(texts, size, overlap))]
-        return pd.DataFrame(rows, columns=["video_id", "i", "start_time", "end_time", "text"])
-
-    return df.groupBy("video_id").applyInPandas(
-        fold, "video_id string, i int, start_time double, end_time double, text string")
+    sized = running_sum(df.withColumn("_n", F.length("text")), ["video_id"], [F.col("pos")],
+                        F.floor(F.col("pos") / 1000), F.col("_n"), "_upto")
+    rows = sized.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct(
+        "pos", (F.col("_upto") - F.col("_n")).alias("lead"), F.col("_upto").alias("upto"),
+        "start_time", "end_time", "text"))).alias("c"))
+    last = F.size("c") - 1
+    cue = lambda i: F.get("c", i)
+    place = F.transform("c", lambda _, i: i)
+
+    def started(found: Column, i: Column) -> Column:
+        fresh = cue(i)["lead"] - cue(F.element_at(found, -1))["lead"] > size - overlap
+        return F.when(fresh, F.array_append(found, i)).otherwise(found)
+
+    def ended(state: Column, s: Column) -> Column:
+        after = F.coalesce(F.try_element_at(state["ends"], F.lit(-1)), F.lit(-1)) + 1
+        over = F.get(F.filter("at", lambda i: (i >= s) & (cue(i)["upto"] - cue(s)["lead"] > size)), 0)
+        here = F.greatest(over, F.when(over.isNotNull(), after))
+        open_ = here.isNull() | (here > last)  # the cues run out before the chunk is full
+        return F.when(state["done"], state).otherwise(F.struct(
+            F.array_append(state["ends"], F.when(open_, last).otherwise(here)).alias("ends"), open_.alias("done")))
+
+    none = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(False).alias("done"))
+    whole = (
+        rows.withColumn("at", place)
+        .withColumn("starts", F.aggregate("at", F.array(F.lit(0)), started))
+        .withColumn("ends", F.aggregate("starts", none, ended)["ends"])
+    )
+    return whole.select("video_id", F.posexplode(F.arrays_zip(F.slice("starts", F.lit(1), F.size("ends")), "ends")).alias("i", "w"), "c").select(
+        "video_id", "i", cue(F.col("w")["0"])["start_time"].alias("start_time"), cue(F.col("w.ends"))["end_time"].alias("end_time"),
+        F.array_join(F.transform(F.slice("c", F.col("w")["0"] + 1, F.col("w.ends") - F.col("w")["0"] + 1), lambda x: x["text"]), " ").alias("text"))
 
 
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
