@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators.ordering import exact_quantiles
@@ -20,11 +20,12 @@ def query_telemetry(log: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_queries"),
         ratio(F.count(F.when(F.coalesce("success", F.lit(True)), 1)), F.count(F.lit(1))).alias("success_rate"),
         F.avg("total_time_ms").alias("mean_ms"), F.max("total_time_ms").alias("max_ms"),
-        F.min("total_time_ms").alias("min_ms"), F.lit(1).alias("_one"))
-    marks = exact_quantiles(log.withColumn("_one", F.lit(1)), ["_one"], "total_time_ms", [0.5, 0.95, 0.99])
-    return totals.join(marks, "_one").select(
-        "total_queries", "success_rate", "mean_ms", F.col("q0").alias("median_ms"),
-        F.col("q1").alias("p95_ms"), F.col("q2").alias("p99_ms"), "max_ms", "min_ms")
+        F.min("total_time_ms").alias("min_ms"))
+    marks = exact_quantiles(log.withColumn("_all", F.lit(1)), ["_all"], "total_time_ms", [0.5, 0.95, 0.99])
+    mark = lambda i: marks.select(f"q{i}").scalar()
+    return totals.select(
+        "total_queries", "success_rate", "mean_ms", mark(0).alias("median_ms"),
+        mark(1).alias("p95_ms"), mark(2).alias("p99_ms"), "max_ms", "min_ms")
 
 
 def stage_telemetry(log: DataFrame) -> DataFrame:
@@ -42,12 +43,11 @@ def cache_stats(log: DataFrame, files: DataFrame, max_mb: float) -> DataFrame:
     """Hit rate of a log of cache events, and how full the cache is."""
     times = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
     events = log.agg(times("hit").alias("hits"), times("miss").alias("misses"),
-                     times("eviction").alias("evictions"), F.lit(1).alias("_one"))
+                     times("eviction").alias("evictions"))
     size = files.agg(F.count(F.lit(1)).alias("file_count"),
-                     F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"),
-                     F.lit(1).alias("_one"))
+                     F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"))
     mb = F.col("total_bytes") / (1024.0 * 1024.0)
-    return events.join(size, "_one").select(
+    return events.withColumns({c: size.select(c).scalar() for c in ("file_count", "total_bytes")}).select(
         "hits", "misses", "evictions",
         ratio(F.col("hits"), F.col("hits") + F.col("misses")).alias("hit_rate"),
         "file_count", "total_bytes",
@@ -96,8 +96,7 @@ def review_votes(votes: DataFrame, name: str, kinds: list[str], top: int = 5) ->
 def cost_rollup(costs: DataFrame, levels: list[str]) -> DataFrame:
     """Cost at every level of the hierarchy and its share of everything."""
     rolled = costs.rollup(*levels).agg(F.sum("cost").alias("cost"), F.grouping_id().alias("level"))
-    everything = Window.partitionBy(F.lit(1))
-    whole = F.max(F.when(F.col("level") == 2 ** len(levels) - 1, F.col("cost"))).over(everything)
+    whole = costs.agg(F.sum("cost")).scalar()
     return rolled.select(*levels, "level", "cost", (F.col("cost") / whole).alias("share"))
 
 

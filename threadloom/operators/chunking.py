@@ -98,11 +98,10 @@ def fixed_stride(df: DataFrame, key: str, text: str = "text", size: int = 1000,
     step = size - overlap
     length = F.length(text)
     last = F.greatest(F.ceil((length - overlap) / step) - 1, F.lit(0)).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
-    return (
-        df.filter(length > 0).select(key, *keep, F.col(text).alias("_t"), F.posexplode(starts).alias("chunk_no", "start_index"))
-        .select(key, *keep, "chunk_no", "start_index",
-                F.substring(F.col("_t"), F.col("start_index") + 1, F.lit(size)).alias("chunk")))
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+        i.alias("chunk_no"), (i * step).alias("start_index"),
+        F.substring(F.col(text), i * step + 1, F.lit(size)).alias("chunk")))
+    return df.filter(length > 0).select(key, *keep, F.inline(pieces))
 
 
 def window_size(text: Column, base: int = 512, factor: float = 1.5, least: int = 100,

@@ -66,8 +66,9 @@ def hop_expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, decay: float =
 
 
 def personalised_pagerank(seeds: DataFrame, edges: DataFrame, iterations: int = 20,
-                          restart: float = 0.15, cut_every: int = 5) -> DataFrame:
-    """Personalised PageRank per query, restarting at its seeds; sinks return to them too."""
+                          restart: float = 0.15, cut_every: int = 5, k: int = 50) -> DataFrame:
+    """The k nodes per query with most personalised PageRank, restarting at its seeds; sinks return
+    to them too."""
     links = with_priors(edges).groupBy("src", "dst").agg(F.max("prior").alias("prior"))
     out = links.groupBy("src").agg(F.sum("prior").alias("out"))
     step = cut_lineage(links.join(out, "src").select("src", "dst", (F.col("prior") / F.col("out")).alias("p")))
@@ -87,7 +88,7 @@ def personalised_pagerank(seeds: DataFrame, edges: DataFrame, iterations: int =
                 .groupBy("query_id", "doc_id").agg(F.sum("mass").alias("mass")))
         if i % cut_every == 0:
             rank = cut_lineage(rank)
-    return ranked(rank.select("query_id", "doc_id", F.round("mass", 6).alias("score")), "query_id")
+    return top_k(rank.select("query_id", "doc_id", F.round("mass", 6).alias("score")), k)
 
 
 def reply_context(messages: DataFrame) -> DataFrame:

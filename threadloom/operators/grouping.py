@@ -38,17 +38,18 @@ def filtered(messages: DataFrame) -> DataFrame:
 
 
 def thread_groups(rows: DataFrame, min_chars: int = 10) -> DataFrame:
-    """One row per thread. The first message names it, even when its own text is dropped."""
+    """One row per thread: team, channel and stamp. The first message names it, even when its own
+    text is dropped."""
     order = F.struct("t", "id")
     said = F.when(F.length(strip(F.col("msg"))) >= min_chars, F.struct("t", "id", "msg"))
-    head = F.struct("id", "user", "channel_id", "team_id", "ts")
+    head = F.struct("id", "user", "ts")
     return (
-        rows.filter(F.col("thread_ts").isNotNull()).groupBy("thread_ts")
+        rows.filter(F.col("thread_ts").isNotNull()).groupBy(*CHANNEL, "thread_ts")
         .agg(F.min_by(head, order).alias("h"), F.array_sort(F.collect_list(said)).alias("said"))
         .filter(F.size("said") > 0)
         .select("h.id", F.transform("said", lambda s: s["id"]).alias("message_ids"),
                 F.array_join(F.transform("said", lambda s: s["msg"]), " ").alias("text"),
-                F.col("h.user").alias("user_name"), "h.channel_id", "h.ts", "thread_ts", "h.team_id"))
+                F.col("h.user").alias("user_name"), "channel_id", "h.ts", "thread_ts", "team_id"))
 
 
 def _fold_rows(pdf: pd.DataFrame) -> pd.DataFrame:

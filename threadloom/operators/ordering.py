@@ -63,15 +63,16 @@ def previous(df: DataFrame, keys: list[str], order: Column, bucket: Column,
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                    slices: int = 64) -> DataFrame:
+                    slice_values: int = 50_000) -> DataFrame:
     """Exact interpolated quantiles per key, as columns ``q0, q1, …``, with ``n``.
 
-    Equal values are counted first. Their counts are cut into slices of about equal size,
-    so that no task ever holds all values of a hot key; each quantile then looks up the
+    Equal values are counted first. Their counts are cut into slices of about ``slice_values``
+    different values, at least 16, so that no task ever holds all values of a hot key; each quantile then looks up the
     two values at its place. Slice bounds may be approximate, the result is not.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(
         *keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    slices = max(16, -(-counts.count() // slice_values))
     span = counts.groupBy(*keys).agg(
         F.percentile_approx("_v", [i / slices for i in range(1, slices)], 4 * slices)
         .alias("_bounds"), F.sum("_c").alias("n"))

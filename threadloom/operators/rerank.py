@@ -120,12 +120,9 @@ def authority(candidates: DataFrame, messages: DataFrame, sender_weight: float =
     """
     senders = messages.groupBy("sender").agg(F.count(F.lit(1)).alias("ns"))
     threads = messages.groupBy("thread_id").agg(F.count(F.lit(1)).alias("nt"))
-    most = senders.agg(F.max(F.log1p("ns")).alias("max_s"), F.lit(1).alias("_one")).join(
-        threads.agg(F.max(F.log1p("nt")).alias("max_t"), F.lit(1).alias("_one")), "_one")
-    rows = (candidates.join(messages, "doc_id").join(senders, "sender").join(threads, "thread_id")
-            .withColumn("_one", F.lit(1)).join(F.broadcast(most), "_one"))
-    boost = (1.0 + sender_weight * F.log1p("ns") / F.col("max_s")
-             + thread_weight * F.log1p("nt") / F.col("max_t"))
+    rows = candidates.join(messages, "doc_id").join(senders, "sender").join(threads, "thread_id")
+    boost = (1.0 + sender_weight * F.log1p("ns") / senders.agg(F.max(F.log1p("ns"))).scalar()
+             + thread_weight * F.log1p("nt") / threads.agg(F.max(F.log1p("nt"))).scalar())
     return ranked(rows.select("query_id", "doc_id", F.round(F.col("score") * boost, 6).alias("score")), "query_id")
 
 

@@ -67,14 +67,14 @@ def dense_index(spark, sf):
 
 
 def sparse_index(spark, sf):
-    """The labelled vectors that also have a text."""
-    docs = table(spark, sf, "documents").select("doc_id").filter(F.length("text") > 2000)
+    """The vectors whose document has been judged."""
+    docs = table(spark, sf, "labels").select("doc_id")
     return dense_index(spark, sf).join(docs, "doc_id").withColumn("vec", F.array().cast("array<float>"))
 
 
 @query("agg_index_stats", """SELECT 'ns' || label AS namespace, count(*) AS vectors, max(len(embedding))::BIGINT AS dimension, 'dense' AS "index"
 FROM embeddings GROUP BY label
-UNION ALL SELECT 'ns' || label, count(*), 0, 'sparse' FROM embeddings JOIN documents ON doc_id = vec_id WHERE length(text) > 2000 GROUP BY label""")
+UNION ALL SELECT 'ns' || label, count(*), 0, 'sparse' FROM embeddings JOIN labels ON doc_id = vec_id GROUP BY label""")
 def agg_index_stats(spark, sf):
     return agg.index_stats(dense_index(spark, sf), "dense").unionByName(
         agg.index_stats(sparse_index(spark, sf), "sparse"))
@@ -82,7 +82,7 @@ def agg_index_stats(spark, sf):
 
 @query("agg_index_delta", """
 WITH d AS (SELECT 'ns' || label AS namespace, count(*) AS n FROM embeddings GROUP BY label),
-s AS (SELECT 'ns' || label AS namespace, count(*) AS n FROM embeddings JOIN documents ON doc_id = vec_id WHERE length(text) > 2000 GROUP BY label)
+s AS (SELECT 'ns' || label AS namespace, count(*) AS n FROM embeddings JOIN labels ON doc_id = vec_id GROUP BY label)
 SELECT namespace, coalesce(d.n, 0) AS dense, coalesce(s.n, 0) AS sparse, coalesce(d.n, 0) - coalesce(s.n, 0) AS delta
 FROM d FULL JOIN s USING (namespace) WHERE coalesce(d.n, 0) <> coalesce(s.n, 0)""")
 def agg_index_delta(spark, sf):

@@ -27,9 +27,9 @@ def grp_user_name(spark, sf):
         "event_id", grouping.user_name(F.col("display_name"), F.col("user_name")).alias("name"))
 
 
-SQL_THREADS = """th AS (SELECT thread_ts, arg_min(id, (t, id)) AS id, arg_min(uname, (t, id)) AS user_name, arg_min(channel_id, (t, id)) AS channel_id, arg_min(ts, (t, id)) AS ts,
+SQL_THREADS = """th AS (SELECT thread_ts, arg_min(id, (t, id)) AS id, arg_min(uname, (t, id)) AS user_name, channel_id, arg_min(ts, (t, id)) AS ts,
   list(id ORDER BY t, id) FILTER (length(msg) >= 10) AS message_ids, string_agg(msg, ' ' ORDER BY t, id) FILTER (length(msg) >= 10) AS text
-  FROM rows WHERE thread_ts IS NOT NULL GROUP BY thread_ts)"""
+  FROM rows WHERE thread_ts IS NOT NULL GROUP BY channel_id, thread_ts)"""
 
 
 @query("grp_thread_merge", f"""WITH {SQL_FILTERED}, {SQL_THREADS}
