@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from threadloom import fixed_values as fv
 from threadloom.functions import dates
 from threadloom.functions.quality import has_code
-from threadloom.operators import bm25, dense, fusion, graph, ranking, rerank, tfidf
+from threadloom.operators import bm25, dense, fusion, graph, keyword_index, ranking, rerank, tfidf
 from threadloom.plans import duck, fixtures
 from threadloom.plans.fixtures import SQL_DENSE
 from threadloom.plans.registry import query
+from threadloom.session import scratch_path
 from threadloom.tables import table
 
 SQL_BM25 = """toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
@@ -75,6 +76,14 @@ def ret_bm25_corpus(spark, sf):
     return sparse_hits(spark, sf)
 
 
+@query("ret_bm25_index", f"WITH {SQL_BM25} SELECT * FROM sparse")
+def ret_bm25_index(spark, sf):
+    """The same from an index built once: its tables are all that a search reads."""
+    path = scratch_path(spark, "keyword-index")
+    keyword_index.build(fixtures.corpus(spark, sf), path)
+    return keyword_index.search(spark, path, fixtures.query_texts(spark, sf))
+
+
 SQL_CAND_BM25 = f"""ct AS (SELECT query_id, d.doc_id, {duck.words('text')} AS t FROM dense JOIN documents d USING (doc_id)),
 cn AS (SELECT query_id, count(*) AS n, avg(len(t)) AS mean FROM ct GROUP BY query_id),
 cp AS (SELECT query_id, doc_id, l, term, count(*) AS tf FROM (SELECT query_id, doc_id, len(t) AS l, unnest(t) AS term FROM ct) GROUP BY ALL),
