@@ -112,6 +112,16 @@ def snk_markdown_threads(spark, sf):
     return markdown.thread_files(documents.thread_info(mail), markdown.thread_sections(mail))
 
 
+@query("snk_append_threads", f"""WITH {fixtures.SQL_MAIL},
+s AS (SELECT *, '  ' || chr(10) AS g, row_number() OVER (PARTITION BY thread_id ORDER BY turn < 2 DESC, sent_at, msg_id) AS no FROM mail)
+SELECT thread_id, msg_id, no, {SQL_SECTION} AS section FROM s WHERE turn >= 2""")
+def snk_append_threads(spark, sf):
+    """Sections of messages not rendered yet, numbered after those that are."""
+    mail = fixtures.mail(spark, sf)
+    known = mail.filter(~F.col("msg_id").rlike("T([2-9]|[0-9]{2,})$")).select("thread_id", "msg_id")
+    return markdown.thread_sections(mail, known)
+
+
 @query("snk_markdown_blogs", f"""
 WITH p AS (SELECT doc_id, source, lang, {duck.strip('text')} AS body, CASE lang WHEN 'en' THEN '2024-01-05' ELSE strftime(make_date(2023, 7, (n_chars % 28 + 1)::INTEGER), '%Y-%m-%d') END AS day FROM documents WHERE lang IN ('en', 'de'))
 SELECT CASE source WHEN 'src1' THEN 'unknown' ELSE source END AS folder, day || '_Post ' || doc_id || '.md' AS file,

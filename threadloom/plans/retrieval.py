@@ -339,6 +339,22 @@ def rr_tfidf(spark, sf):
     return tfidf.rerank(tfidf.fit(docs), q, fused, docs)
 
 
+@query("search_local", f"""WITH {SQL_DENSE}, {SQL_CAND_BM25}, {SQL_FUSED.format(sparse='cand')}, {SQL_TFIDF},
+typed AS (SELECT f.* FROM fused f JOIN documents d USING (doc_id) WHERE lang IN ('en', 'fr')),
+sim AS (SELECT query_id, doc_id, sum(a.w * b.w) AS s FROM typed JOIN tv a ON a.kind = 'q' AND a.id = query_id JOIN tv b ON b.kind = 'd' AND b.id = doc_id AND a.term = b.term GROUP BY ALL),
+r AS (SELECT query_id, doc_id, round(coalesce(s, 0), 6) AS similarity, round(0.9 * score + 0.1 * coalesce(s, 0), 6) AS score FROM typed LEFT JOIN sim USING (query_id, doc_id)),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r)
+SELECT * FROM n WHERE rank > 5 AND rank <= 15""")
+def search_local(spark, sf):
+    """The whole local path: dense, keyword over its hits, fusion, types asked for, TF-IDF, second page."""
+    hits = dense_hits(spark, sf)
+    q, docs = fixtures.query_texts(spark, sf), fixtures.corpus(spark, sf)
+    fused = fusion.weighted_reciprocal(hits, bm25.bm25_candidates(q, hits, docs))
+    types = table(spark, sf, "documents").select("doc_id", "lang").filter(F.col("lang").isin("en", "fr"))
+    typed = fused.join(types, "doc_id", "left_semi")
+    return ranking.page(tfidf.rerank(tfidf.fit(docs), q, typed, docs), 50, 10, 5)
+
+
 def dated(spark, sf):
     """A date and a type per doc: the event with its number, mail where English."""
     ev = table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), "ts")
