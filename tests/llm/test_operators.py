@@ -462,3 +462,9 @@ def test_forest_takes_longest_prefixes_first():
         shared = np.array([[16 - int(a ^ b).bit_length() for a, b in zip(keys[q], own[r])] for r in range(300)])
         level = next(x for x in range(16, -1, -1) if (shared >= x).sum() >= 40)
         assert set(row[query == q].tolist()) == set(np.flatnonzero((shared >= level).any(1)).tolist())
+
+
+def test_packed_counts():
+    counts = np.array([0, 1, 254, 255, 256, 2**40, 7])
+    assert (language_model.unpacked(language_model.packed(counts), 7) == counts).all()
+    assert len(language_model.unpacked(language_model.packed(np.zeros(0, np.int64)), 0)) == 0

@@ -85,6 +85,18 @@ class Block:
         return (self.word_keys, self.word_at) if kind == 1 else (self.pair_keys, self.pair_at)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A byte per count; those of 255 and more follow in full, in order."""
+    counts = counts.astype(np.int64)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<i8", offset=n)
+    return counts
+
+
 def cuts(keys: np.ndarray, bits: int) -> np.ndarray:
     """Where the buckets, by the upper bits of sorted keys, begin and end."""
     edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
@@ -97,11 +109,11 @@ def ask(bits: int):
         name, block, out = rows.column("block")[0].as_py(), Block(rows), []
         for kind in (1, 2):
             keys, at = block.keys(kind)
-            counts = np.bincount(at[block.train], minlength=len(keys)).astype("<u4")
+            counts = np.bincount(at[block.train], minlength=len(keys))
             edge = cuts(keys, bits)
             for bucket in np.flatnonzero(np.diff(edge)).tolist():
                 lo, hi = edge[bucket], edge[bucket + 1]
-                out.append((name, kind, bucket, keys[lo:hi].tobytes(), counts[lo:hi].tobytes()))
+                out.append((name, kind, bucket, keys[lo:hi].tobytes(), packed(counts[lo:hi])))
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
                         names=[f.split()[0] for f in REQUEST.split(", ")])
@@ -115,14 +127,14 @@ def tally(rows: pa.Table) -> pa.Table:
     kind, bucket = rows.column("kind")[0].as_py(), rows.column("bucket")[0].as_py()
     asked = [np.frombuffer(k, np.uint64) for k in rows.column("keys").to_pylist()]
     keys = np.concatenate(asked)
-    counts = np.concatenate([np.frombuffer(c, "<u4") for c in rows.column("counts").to_pylist()])
+    counts = np.concatenate([unpacked(c, len(a)) for c, a in zip(rows.column("counts").to_pylist(), asked)])
     order = np.argsort(keys, kind="stable")
     new = np.r_[True, keys[order][1:] != keys[order][:-1]]
-    sums = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new))
+    sums = np.add.reduceat(counts[order], np.flatnonzero(new))
     totals = np.empty(len(keys), np.int64)
     totals[order] = sums[np.cumsum(new) - 1]
     ends = np.cumsum([len(a) for a in asked])
-    out = [(b, kind, bucket, t.astype("<u4" if t.max(initial=0) < 1 << 32 else "<u8").tobytes(), 0, 0)
+    out = [(b, kind, bucket, packed(t), 0, 0)
            for b, t in zip(rows.column("block").to_pylist(), np.split(totals, ends[:-1]))]
     if kind == 1:
         out.append((-1, kind, bucket, b"", int(sums.sum()), int((sums > 0).sum())))
@@ -168,8 +180,8 @@ def score(mu: float):
         for kind in (1, 2):
             mine = replies.filter(pa.compute.equal(replies.column("kind"), kind)).sort_by("bucket")
             counts[kind] = np.concatenate([
-                np.frombuffer(c, "<u4") if len(c) == 4 * m else np.frombuffer(c, "<u8")
-                for c, m in zip(mine.column("counts").to_pylist(), bucket_sizes(block.keys(kind)[0], mine))]).astype(float)
+                unpacked(c, m) for c, m in
+                zip(mine.column("counts").to_pylist(), bucket_sizes(block.keys(kind)[0], mine))]).astype(float)
         words = counts[1][block.word_at]
         base = np.log10((words + ALPHA) / (n + ALPHA * (v + 1)))
         weights = Automaton(block, counts[1], counts[2], n, v, mu).weights()
