@@ -198,8 +198,9 @@ def judged(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """
     rules = standard_rules(F.col("text"), {name: F.col(f"__q_base.{name}") for name in BASE})
     if order is None:
-        rows = docs.select("text").filter(F.length("text") <= SAMPLE_CHARS).limit(SAMPLE_ROWS).toArrow()
-        order = cascade_order(measured(docs.sparkSession.createDataFrame(rows)), rules)
+        rows = docs.select("text").filter(F.length("text") <= SAMPLE_CHARS).take(SAMPLE_ROWS)
+        sample = docs.sparkSession.createDataFrame(rows, "text string").repartition(8)  # measured by tasks, not in planning
+        order = cascade_order(measured(sample), rules)
     n, repeated = F.col("__q_base.n_words"), F.col("__q_base.n_repeat_words")
     failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEATED_PERCENT * n)
     return measured(docs).withColumn(
