@@ -105,7 +105,18 @@ def cues(spark, sf):
     return parsers.transcript_cues(transcripts(spark, sf))
 
 
-@query("chunk_cues")
+@query("chunk_cues", f"""WITH RECURSIVE {SQL_CUES},
+l AS (SELECT *, upto - length(text) AS lead FROM (SELECT *, sum(length(text)) OVER (PARTITION BY video_id ORDER BY pos) AS upto, max(pos) OVER (PARTITION BY video_id) AS final FROM cues)),
+nx AS (SELECT a.video_id, a.pos, min(b.pos) AS nxt FROM l a JOIN l b ON a.video_id = b.video_id AND b.lead - a.lead > 700 GROUP BY ALL),
+ov AS (SELECT a.video_id, a.pos, min(b.pos) AS over FROM l a JOIN l b ON a.video_id = b.video_id AND b.pos >= a.pos AND b.upto - a.lead > 900 GROUP BY ALL),
+st AS (SELECT video_id, 0 AS k, pos AS s FROM l WHERE pos = 0
+  UNION ALL SELECT st.video_id, k + 1, nxt FROM st JOIN nx ON nx.video_id = st.video_id AND nx.pos = st.s),
+so AS (SELECT st.*, over, final FROM st JOIN (SELECT DISTINCT video_id, final FROM l) USING (video_id) LEFT JOIN ov ON ov.video_id = st.video_id AND ov.pos = st.s),
+en AS (SELECT video_id, k, s, coalesce(over, final) AS e, over IS NULL AS done FROM so WHERE k = 0
+  UNION ALL SELECT so.video_id, so.k, so.s, CASE WHEN over IS NULL OR greatest(over, e + 1) > final THEN final ELSE greatest(over, e + 1) END,
+    over IS NULL OR greatest(over, e + 1) > final FROM en JOIN so ON so.video_id = en.video_id AND so.k = en.k + 1 WHERE NOT done)
+SELECT en.video_id, k::INTEGER AS i, min(start_time) AS start_time, max(end_time) AS end_time, string_agg(text, ' ' ORDER BY pos) AS text
+FROM en JOIN l ON l.video_id = en.video_id AND pos BETWEEN s AND e GROUP BY en.video_id, k""")
 def chunk_cues(spark, sf):
     return chunking.cues(cues(spark, sf))
 
