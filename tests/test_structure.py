@@ -161,5 +161,5 @@ def test_file_sources(spark, tmp_path):
         "local_path,filename,url,author,title,date\np/a.md,a.md,u1,x,t,2024-01-01\n,a.md,u2,\"y,z\",t2,\n")
     index = parsers.paper_index(files.read_csv(spark, str(tmp_path / "papers.csv")))
     assert {r["key"]: r["url"] for r in index.collect()} == {"p/a.md": "u1", "a.md": "u2"}
-    stats = files.file_stats(spark, str(tmp_path)).collect()
+    stats = files.file_stats(files.listing(spark, str(tmp_path))).collect()
     assert {r["extension"]: r["files"] for r in stats} == {".json": 2, ".txt": 1, ".html": 1, ".bin": 1, ".vtt": 2, ".csv": 1}

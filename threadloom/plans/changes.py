@@ -8,7 +8,7 @@ from threadloom.functions import quality, text
 from threadloom.operators import chunking, documents, incremental, markdown, store
 from threadloom.plans import duck, fixtures
 from threadloom.plans.filters import D_FMT, D_PUNCT, D_RULE, D_WORDS, SQL_SNIPPETS, snippets
-from threadloom.plans.grouping import chat_rows, cues
+from threadloom.plans.grouping import chat_rows, cues, SQL_USER_GROUPS
 from threadloom.plans.registry import query
 from threadloom.plans.sources import blog_files, video_files
 from threadloom.session import scratch_path
@@ -342,7 +342,8 @@ def stm_sliding_rate(spark, sf):
         F.round("error_rate", 6).alias("error_rate"), "high_error_rate")
 
 
-@query("stm_anchor_groups")
+@query("stm_anchor_groups", f"""WITH RECURSIVE {SQL_USER_GROUPS}
+SELECT channel_id, id::VARCHAR AS id, user_name, ts::VARCHAR AS ts, len(message_ids) AS message_count, text FROM ug""")
 def stm_anchor_groups(spark, sf):
     path = scratch_path(spark, "chat")
     rows = chat_rows(spark, sf).filter("thread_ts IS NULL").select(

@@ -308,9 +308,14 @@ def src_format_video(spark, sf):
     return parsers.api_video(raw)
 
 
-@query("src_file_stats")
+@query("src_file_stats", """SELECT CASE lang WHEN 'en' THEN '.txt' WHEN 'de' THEN '.md' WHEN 'fr' THEN '' ELSE '.' || lang END AS extension,
+  count(*) AS files, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY 1""")
 def src_file_stats(spark, sf):
-    return files.file_stats(spark, sf)
+    """Over a listing derived from the documents, one path each."""
+    end = (F.when(F.col("lang") == "en", ".TXT").when(F.col("lang") == "de", ".tar.md").when(F.col("lang") == "fr", "")
+           .otherwise(F.concat(F.lit("."), "lang")))
+    return files.file_stats(table(spark, sf, "documents").select(
+        F.concat(F.lit("/data/v1.2/"), "source", F.lit("/"), "doc_id", end).alias("path"), F.col("n_chars").alias("length")))
 
 
 # --- ids and documents -----------------------------------------------------------

@@ -22,16 +22,18 @@ def relative_path(path: Column, root: str) -> Column:
     return F.element_at(F.split(path, "\\Q" + plain + "\\E", 2), -1)
 
 
-def file_stats(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Files and bytes per lower-cased suffix. Contents are never read."""
+def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """``path, length`` of the files below a folder. Contents are never read."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+            .option("pathGlobFilter", pattern).load(root).select("path", "length"))
+
+
+def file_stats(files: DataFrame) -> DataFrame:
+    """Files and bytes per lower-cased suffix of a listing ``path, length``."""
     name = F.regexp_extract("path", r"[^/]*\z", 0)
     suffix = F.lower(F.regexp_extract(name, r"[^/](\.[^.]+)\z", 1))
     return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(root)
-        .select(suffix.alias("extension"), "length")
+        files.select(suffix.alias("extension"), "length")
         .groupBy("extension")
         .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
     )
