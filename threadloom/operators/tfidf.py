@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threadloom import fixed_values as fv
 from threadloom.functions.text import WORD_SET, let
 from threadloom.operators.ranking import top_k
+from threadloom.session import cut_lineage
 
 
 def terms(c: Column) -> Column:
@@ -41,8 +42,8 @@ def fit(docs: DataFrame, features: int = 10_000) -> TfidfModel:
     n = docs.count()
     df = (split.select(F.explode(F.array_distinct("terms")).alias("term"))
           .join(F.broadcast(most), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    return TfidfModel(df.select(
-        "term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
+    return TfidfModel(cut_lineage(df.select(
+        "term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))))
 
 
 def vectors(model: TfidfModel, rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -11,7 +11,7 @@ from threadloom.operators import bm25, dense, fusion, graph, keyword_index, rank
 from threadloom.plans import duck, fixtures
 from threadloom.plans.fixtures import SQL_DENSE
 from threadloom.plans.registry import query
-from threadloom.session import scratch_path
+from threadloom.session import cut_lineage, scratch_path
 from threadloom.tables import table
 
 SQL_BM25 = """toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
@@ -333,9 +333,9 @@ r AS (SELECT query_id, doc_id, round(coalesce(s, 0), 6) AS similarity, round(0.9
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r QUALIFY rank <= 50""")
 def rr_tfidf(spark, sf):
     """Dense, keyword over the dense hits, fusion, then TF-IDF: the whole local search."""
-    hits = dense_hits(spark, sf)
+    hits = cut_lineage(dense_hits(spark, sf))  # few rows per query, read several times below
     q, docs = fixtures.query_texts(spark, sf), fixtures.corpus(spark, sf)
-    fused = fusion.weighted_reciprocal(hits, bm25.bm25_candidates(q, hits, docs))
+    fused = cut_lineage(fusion.weighted_reciprocal(hits, bm25.bm25_candidates(q, hits, docs)))
     return tfidf.rerank(tfidf.fit(docs), q, fused, docs)
 
 
@@ -347,9 +347,9 @@ n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 SELECT * FROM n WHERE rank > 5 AND rank <= 15""")
 def search_local(spark, sf):
     """The whole local path: dense, keyword over its hits, fusion, types asked for, TF-IDF, second page."""
-    hits = dense_hits(spark, sf)
+    hits = cut_lineage(dense_hits(spark, sf))  # few rows per query, read several times below
     q, docs = fixtures.query_texts(spark, sf), fixtures.corpus(spark, sf)
-    fused = fusion.weighted_reciprocal(hits, bm25.bm25_candidates(q, hits, docs))
+    fused = cut_lineage(fusion.weighted_reciprocal(hits, bm25.bm25_candidates(q, hits, docs)))
     types = table(spark, sf, "documents").select("doc_id", "lang").filter(F.col("lang").isin("en", "fr"))
     typed = fused.join(types, "doc_id", "left_semi")
     return ranking.page(tfidf.rerank(tfidf.fit(docs), q, typed, docs), 50, 10, 5)
