@@ -48,7 +48,7 @@ def bm25_corpus(queries: DataFrame, docs: DataFrame, k: int = 50, k1: float = K1
     terms = query_terms(queries, tokens(F.col("query_text")))
     split = docs.select("doc_id", tokens(F.col("text")).alias("toks"))
     few = None if strategy == "join" else bounded_rows(terms)
-    if few is not None and few["term"].nunique() * few["query_id"].nunique() > 2 * CELLS:
+    if few is not None and few["term"].nunique() * few["query_id"].nunique() > CELLS:
         few = None
     if few is None:
         return _by_join(terms, split, k, k1, b)
@@ -195,6 +195,8 @@ def keyword_topk(queries: DataFrame, docs: DataFrame, k: int = 50) -> DataFrame:
               f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     split = docs.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("toks"),
                         F.lower("text").alias("low"))
+    if few is not None and few["terms"].explode().nunique() * len(few) > CELLS:
+        few = None  # the matrix of terms and queries would be too large to broadcast
     if few is None:
         each = terms.select("query_id", F.explode("terms").alias("term"))
         hits = (split.select("doc_id", F.explode("toks").alias("term")).join(each, "term")

@@ -3,6 +3,8 @@
 Rows live in ``namespace`` and hash ``bucket`` partitions. A change reads and rewrites
 only the partitions it touches, through a staged copy. Every rewritten partition keeps
 one marker row without an id, so that a partition that becomes empty is replaced too.
+Rows are rebalanced by folder at run time: a large folder is written by several tasks
+into several files, small ones share a task.
 """
 
 from __future__ import annotations
@@ -74,7 +76,7 @@ class ChunkStore:
         return self.spark.read.schema(schema).parquet(self.path)
 
     def create(self, rows: DataFrame) -> None:
-        (self._placed(rows).repartition(*PLACE).write.mode("errorifexists")
+        (self._placed(rows).hint("rebalance", *PLACE).write.mode("errorifexists")
          .partitionBy(*PLACE).parquet(self.path))
 
     def read(self) -> DataFrame:
@@ -86,7 +88,7 @@ class ChunkStore:
             F.lit(None).cast(self.schema[n].dataType).alias(n) for n in self.names if n != "namespace"])
         columns = [*self.names, "bucket"]
         staged = stored(change.select(*columns).unionByName(markers.select(*columns)), "stage")
-        (staged.repartition(*PLACE).write.mode("overwrite")
+        (staged.hint("rebalance", *PLACE).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE).parquet(self.path))
 
     def _in(self, touched: DataFrame) -> DataFrame:
