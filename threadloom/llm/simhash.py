@@ -162,18 +162,18 @@ def link_cells(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Re
 
 
 def block_keys(fp: Column, radius: int) -> Column:
-    """One number per block of bits: the block's index above, its value below."""
+    """One number per block of bits: the block's index above bit 40, its value below. Without a radius
+    the whole fingerprint is the only block."""
     edges = [round(k * BITS / (radius + 1)) for k in range(radius + 2)]
     return F.array(*[
         F.shiftrightunsigned(F.shiftleft(fp, BITS - hi), BITS - (hi - lo)).bitwiseOR(
-            F.shiftleft(F.lit(k).cast("long"), hi - lo)) if hi - lo < 60 else fp
+            F.shiftleft(F.lit(k).cast("long"), 40)) if radius else fp
         for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:]))])
 
 
 def near_links(nodes: DataFrame, radius: int = RADIUS, shard_nodes: int = SHARD_NODES) -> DataFrame:
     """Edges ``(a, b)`` that connect the distinct ``nodes(fp)`` as all pairs within the radius would."""
-    keys = nodes.select("fp", F.posexplode(block_keys(F.col("fp"), radius)).alias("block", "value")).select(
-        "fp", F.col("value").bitwiseOR(F.shiftleft(F.col("block").cast("long"), 40)).alias("key"))
+    keys = nodes.select("fp", F.explode(block_keys(F.col("fp"), radius)).alias("key"))
     shards = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
         "key", F.ceil(F.col("n") / shard_nodes).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
