@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.packing import packed
 from threadloom.llm.pseudonyms import pseudonymised
 from threadloom.llm.quality import keep_good
-from threadloom.llm.simhash import first_of_group
+from threadloom.llm.simhash import SIMILAR_RADIUS, first_of_group
 from threadloom.llm.toxicity import toxicity, train
 from threadloom.session import prepare, stored
 from threadloom.tables import table
@@ -21,6 +21,9 @@ from threadloom.tables import table
 # For checks and tests; a real run sets a key of its own.
 PSEUDONYM_KEY = b"corpus pipeline"
 
+# Near copies: five-word shingles, of which two texts share at least four fifths.
+SHINGLE, SIMILARITY = 5, 0.8
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
@@ -36,7 +39,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least doc_id."""
-    return first_of_group(docs)
+    return first_of_group(docs, SIMILAR_RADIUS, SHINGLE, SIMILARITY)
 
 
 def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tests.compare import check, connect
 from threadloom.llm import (bpe, byte_bpe, hash_forest, html, language_model, packing, pseudonyms, quality, simhash,
                             toxicity, wordpieces)
@@ -177,6 +178,45 @@ def test_first_of_group(spark, odd, nothing):
     assert {r.doc_id for r in rows} == groups and len(rows) == len(groups)
 
 
+def test_planted_edits_are_found(spark):
+    """Sets of five-word shingles, also of repeated and null ids, against all pairs; and parts of any size."""
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{k}" for k in range(5000)])
+    rows = list(ODD)
+    for k in range(120):
+        text = list(rng.choice(words, rng.integers(20, 400)))
+        for copy in range(4):
+            rows.append((1000 + 4 * k + copy, " ".join(text)))
+            for at in rng.integers(0, len(text), rng.integers(0, 6)):
+                text[at] = f"new{rng.integers(0, 99)}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def shingles(text):
+        w = WORDS.findall(lower(text))
+        return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or frozenset([tuple(w)] if w else [])
+
+    own = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            if own[x] == own[y] or len(own[x] & own[y]) >= 0.8 * len(own[x] | own[y]) - 1e-9:
+                old, new = group[x], group[y]
+                group = [new if g == old else g for g in group]
+    least = {g: min((i for (i, _), h in zip(rows, group) if h == g and i is not None), default=None) for g in set(group)}
+    expected = collections.Counter((i, least[g]) for (i, _), g in zip(rows, group))
+    assert len(least) < len(rows) - 100  # many edits qualify
+    got = simhash.near_duplicates(docs, simhash.SIMILAR_RADIUS, 5, 0.8).collect()
+    assert collections.Counter((r.doc_id, r.component_id) for r in got) == expected
+    kept = simhash.first_of_group(docs, simhash.SIMILAR_RADIUS, 5, 0.8).select("doc_id").collect()
+    assert sorted(r.doc_id or -1 for r in kept) == sorted(i or -1 for i in least.values())
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF).select("doc_id").collect()
+    assert collections.Counter(stage) == collections.Counter(kept)
+    nodes = docs.select(simhash.signatures(F.col("text"), 5).alias("s")).select("s.*").dropDuplicates(["fp"])
+    links = [{(r.node, r.root) for r in components(simhash.similar_links(docs, nodes, 5, 24, 0.8, *some)).collect()}
+             for some in ((1024, 1 << 20, 1024), (2, 1 << 20, 2), (1024, 300, 3))]
+    assert links[0] and links[0] == links[1] == links[2]
+
+
 # token counts, packing, byte-level BPE
 
 def test_token_counts(spark, odd, nothing):
