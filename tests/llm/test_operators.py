@@ -452,6 +452,20 @@ def test_copies_of_one_page_keep_their_text(spark):
     assert {r.text for r in got} == {"Same text"} and {r.n_chars for r in got} == {9}
 
 
+def test_copies_beside_other_pages(spark):
+    """A branch that one page alone has is no site's repeat if the page stands there several times; nor is a
+    heading that every article has."""
+    body = "<body><div class=x>Text {0} of page {0}</div>{1}</body>"
+    rows = [(k, f"http://a.example/{k}", body.format(k, "")) for k in range(36)]
+    rows += [(k, f"http://a.example/{k}", body.format("last", f"<ul><li>one</li><li>two</li></ul><nav>{k}</nav>")) for k in range(36, 40)]
+    rows += [(k, f"http://b.example/{k}", f"<body><article><h2>Introduction</h2><p>Text {k}</p></article></body>") for k in range(50, 60)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    text = {r.page_id: r.text for r in got}
+    assert all(text[k] == "Text last of page last\none\ntwo" for k in range(36, 40))
+    assert all(text[k] == f"Text {k} of page {k}" for k in range(36))
+    assert all(text[k] == f"Introduction\nText {k}" for k in range(50, 60))
+
+
 def test_given_pages(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in QUERIES["op8_site_style_tree"](spark, SF).collect():

@@ -10,7 +10,9 @@ on any page, also where a host has too few pages to tell; where a page has an ar
 element, its text is what stands there.
 
 Defined results: null or empty html gives an empty text; a page without a host in its url is read by
-its elements alone; repeated rows count as pages of their own; an empty table gives an empty result.
+its elements alone; an empty table gives an empty result. Pages of a host with the same text are one page of
+its style tree, however often they stand there, and what stands in an article or main element is never
+removed for being the same elsewhere.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -152,8 +155,8 @@ class Page:
         main = [False] * len(self.parent)
         for k in range(1, len(self.parent)):
             up = self.parent[k]
-            marked[k] = marked[up] or self.path[k] in low
             main[k] = main[up] or (self.tag[k] in ARTICLE and not self.noise[k])
+            marked[k] = not main[k] and (marked[up] or self.path[k] in low)
         clean = [(node, " ".join("".join(parts).split())) for node, parts in self.blocks if not self.noise[node]]
         clean = [(node, block) for node, block in clean if block]
         if any(main[node] for node, _ in clean):
@@ -164,16 +167,30 @@ class Page:
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, low): paths of the branches to remove, per host, from ``pages(host, html)``."""
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def page_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per page: its text as a hash, and its nodes as four numbers each."""
         for batch in batches:
-            rows = [(host, *node) for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                    for node in Page(html or "").nodes()]
-            columns = list(zip(*rows)) or [()] * 5
+            texts, packed = [], []
+            for html in batch.column(1).to_pylist():
+                page = Page(html or "")
+                texts.append(hash64(page.text()))
+                packed.append(np.array(list(page.nodes()), np.int64).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.string() if k == 0 else pa.int64()) for k, c in enumerate(columns)],
-                names=["host", "path", "up", "style", "content"])
+                [batch.column(0), pa.array(texts, pa.int64()), pa.array(packed, pa.binary())], names=["host", "page", "nodes"])
 
-    seen = (pages.mapInArrow(nodes, "host string, path long, up long, style long, content long")
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.frombuffer(x, np.int64).reshape(-1, 4) for x in batch.column(1).to_pylist()]
+            host = batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), [len(r) for r in rows])))
+            numbers = np.concatenate([np.zeros((0, 4), np.int64), *rows])
+            yield pa.RecordBatch.from_arrays([host, *[pa.array(numbers[:, k]) for k in range(4)]],
+                                             names=["host", "path", "up", "style", "content"])
+
+    # copies of a page count once
+    distinct = (pages.mapInArrow(page_nodes, "host string, page long, nodes binary")
+                .groupBy("host", "page").agg(F.min("nodes").alias("nodes")))
+    seen = (distinct.select("host", "nodes")
+            .mapInArrow(unpacked, "host string, path long, up long, style long, content long")
             .groupBy("host", "path", "up", "style", "content").agg(F.count(F.lit(1)).alias("n")))
 
     def entropy(column: str, name: str) -> DataFrame:
