@@ -466,6 +466,31 @@ def test_copies_beside_other_pages(spark):
     assert all(text[k] == f"Introduction\nText {k}" for k in range(50, 60))
 
 
+@pytest.mark.parametrize("source, text", [
+    ("<div class='layout with-sidebar'><p>one</p><div class=sidebar>s</div></div>", "one"),
+    ("<div class='page no-comments'><p>one</p></div>", "one"),
+    ("<div class='post has-ads'><p>one</p><div class=ads>s</div></div><footer>f</footer>", "one"),
+    ("<form><h1>Head</h1><p>one and two</p><div class=search>s</div></form>", "Head\none and two"),
+    ("<div class=widget><article><p>one and two</p></article></div><nav>menu</nav>", "one and two"),
+    ("<div class=social><p>one and two and three</p></div>", "one and two and three"),
+    ("<p>a text of its own</p><div class=comments>me too</div>", "a text of its own"),
+    ("<p>one<svg/>two</p><p>three", "onetwo\nthree"),
+    ("<p>one<svg a='>' />two<svg><title>x</title></svg></p><iframe src=x /><p>three", "onetwo\nthree"),
+    ("<p>one<svg>two</p><p>three<svg-icon>four</svg-icon>", "onetwo\nthree\nfour"),
+    ("<p>one</p><script>x<p>y", "one"),
+    ("<p><a class=share>share</a>one <span class='ad-label'>ad</span>two</p>", "one two"),
+    ("<div><p>" + "long text " * 9 + "</p></div><article>card</article>", ("long text " * 9).strip() + "\ncard"),
+    ("<main><p>" + "long text " * 9 + "</p></main><div>note</div>", ("long text " * 9).strip())])
+def test_main_texts_stay_whole(source, text):
+    assert html.Page(source).text() == text and html.Page(f"<html><body>{source}").text() == text
+
+
+def test_repeats_inside_a_block_stay(spark):
+    rows = [(k, f"http://a.example/{k}", f"<body><p><b>Note:</b> text {k} of page {k * 7}</p></body>") for k in range(12)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"Note: text {k} of page {k * 7}" for k in range(12)}
+
+
 def test_given_pages(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in QUERIES["op8_site_style_tree"](spark, SF).collect():

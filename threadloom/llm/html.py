@@ -6,8 +6,10 @@ and which text (content). A node's importance is the entropy of its presentation
 1 if every page differs and 0 if all are the same. A branch of low importance below an important
 parent is what the site repeats, and is removed from each page. Elements that say what they are
 (navigation, footers, forms, advertisement, comments and so on, by tag, class, id or role) are removed
-on any page, also where a host has too few pages to tell; where a page has an article or main
-element, its text is what stands there.
+on any page, also where a host has too few pages to tell; an element that holds most of the page's text,
+or whose name says what it is without (no-comments, with-sidebar), is not one of them. Where an article or
+main element holds most of the text, the text is what stands there. Each piece of text is judged by the
+elements it stands in itself; repeats of the site are removed by whole blocks.
 
 Defined results: null or empty html gives an empty text; a page without a host in its url is read by
 its elements alone; an empty table gives an empty result. Pages of a host with the same text are one page of
@@ -31,10 +33,15 @@ GAMMA = 0.9
 LOW = 0.3
 MIN_PAGES = 4
 
+ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea|title|noscript|iframe|svg|template|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    # without content, whether closed by itself or never closed; text to the end only where HTML says so
+    rf"|<(?:script|style|textarea|title|noscript|iframe|svg|template|select)(?=[\s/>]){ATTRIBUTES}(?<=/)>"
+    rf"|<(script|style|textarea|title)(?=[\s/>])(?:{ATTRIBUTES}|[^>]*)>.*?(?:</\1\s*>|\Z)"
+    rf"|<(noscript|iframe|svg|template|select)(?=[\s/>])(?:{ATTRIBUTES}|[^>]*)>.*?</\2\s*>"
+    r"|</?(?:noscript|iframe|svg|template|select)(?=[\s/>])[^>]*>"
+    rf"|<(/?)([a-z][^\s/>]*)({ATTRIBUTES})>"
     r"|<(/?)([a-z][^\s/>]*)([^>]*)>"
     r"|<[!?][^>]*>", re.S | re.I)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -46,6 +53,7 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var wbr".split())
 NOT_TEXT = frozenset("head nav header footer aside form button dialog menu fieldset object audio video canvas".split())
 ARTICLE = frozenset(("article", "main"))
+WRAPPERS = frozenset(("form", "fieldset", "object"))
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 HINT = re.compile(
@@ -53,6 +61,7 @@ HINT = re.compile(
     r"consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|ads?|advert|adverts|advertisement|"
     r"promo|promotion|sponsor|sponsored|social|share|sharing|related|recommended|comments?|disqus|repl(?:y|ies)|"
     r"login|signup|search|pagination|pager|widget|toolbar|contentinfo|complementary|skip)(?:$|[\s_-])", re.I)
+MODIFIER = re.compile(r"(?<!\S)(?:no|not|non|has|have|with|without|hide)[_-]\S*", re.I)
 
 
 def hash64(text: str) -> int:
@@ -60,11 +69,11 @@ def hash64(text: str) -> int:
 
 
 class Page:
-    """Elements of one page in order, and its blocks of text with the element each stands in."""
+    """Elements of one page in order, and its blocks of text: pieces with the element each stands in."""
 
     def __init__(self, html: str):
         self.parent, self.path, self.tag, self.noise, self.children = [-1], [hash64("")], [""], [False], [[]]
-        self.blocks: list[tuple[int, list[str]]] = []
+        self.blocks: list[list[tuple[int, str]]] = []
         stack, at, open_block = [0], 0, False
 
         def text(raw: str) -> None:
@@ -72,18 +81,18 @@ class Page:
             if not raw or (not open_block and raw.isspace()):
                 return
             if not open_block:
-                self.blocks.append((stack[-1], []))
+                self.blocks.append([])
                 open_block = True
-            self.blocks[-1][1].append(unescape(raw) if "&" in raw else raw)
+            self.blocks[-1].append((stack[-1], unescape(raw) if "&" in raw else raw))
 
         for m in TAG.finditer(html):
             if m.start() > at:
                 text(html[at : m.start()])
             at = m.end()
-            name = m[3] or m[6]
+            name = m[4] or m[7]
             if not name:
                 continue
-            name, closing, rest = name.lower(), m[2] or m[5], m[4] or m[7] or ""
+            name, closing, rest = name.lower(), m[3] or m[6], m[5] or m[8] or ""
             if name == "br":
                 text(" ")
                 continue
@@ -113,34 +122,58 @@ class Page:
             if rest.endswith("/") and name not in INLINE and name not in ("p", "div"):
                 stack.pop()
         text(html[at:])
+        self._settle()
 
     def _open(self, stack: list[int], name: str, rest: str) -> None:
         up, hints = stack[-1], ""
         if rest and "=" in rest:
             hints = " ".join(m[2] or m[3] or m[4] or "" for m in NAMED.finditer(rest))
         noise = name in NOT_TEXT or (bool(hints) and name not in ("html", "body", "article", "main")
-                                     and bool(HINT.search(hints)))
+                                     and bool(HINT.search(MODIFIER.sub(" ", hints))))
         if name == "header" and any(self.tag[k] in ARTICLE for k in stack):
-            noise = bool(HINT.search(hints.replace("header", "")))
+            noise = bool(HINT.search(MODIFIER.sub(" ", hints).replace("header", "")))
         key = f"{name}.{hints}" if hints else name
         self.parent.append(up)
         self.path.append(hash64(f"{self.path[up]}>{key}"))
         self.tag.append(name)
-        self.noise.append(noise or self.noise[up])
+        self.noise.append(noise)
         self.children.append([])
         seen = self.children[up]
         if not seen or seen[-1] != key:  # repeats in a row count once
             seen.append(key)
         stack.append(len(self.parent) - 1)
 
+    def _settle(self) -> None:
+        """Noise goes down the tree, but from an element that holds most of the page's text: if an article,
+        main or h1 stands in it, or hardly any other text is left beside it."""
+        n = len(self.parent)
+        size, clean, whole = [0] * n, [0] * n, [False] * n
+        if any(self.noise):
+            inherited = [False] * n
+            for k in range(1, n):
+                inherited[k] = self.noise[k] or inherited[self.parent[k]]
+            for pieces in self.blocks:
+                for node, piece in pieces:
+                    length = len(piece) - sum(map(str.isspace, piece))
+                    size[node] += length
+                    clean[0] += 0 if inherited[node] else length
+            for k in range(n - 1, 0, -1):
+                size[self.parent[k]] += size[k]
+                whole[self.parent[k]] |= whole[k] or self.tag[k] in ARTICLE or self.tag[k] == "h1"
+        for k in range(1, n):
+            if self.noise[k] and self.tag[k] != "head" and 2 * size[k] > size[0]:
+                self.noise[k] = not (whole[k] or (self.tag[k] not in NOT_TEXT or self.tag[k] in WRAPPERS)
+                                     and 4 * clean[0] < size[k])
+            self.noise[k] = self.noise[k] or self.noise[self.parent[k]]
+
     def nodes(self) -> Iterator[tuple[int, int, int, int]]:
         """Per path: the parent's path, the presentation and the content below it, as hashes."""
         below: list[list[str]] = [[] for _ in self.parent]
-        for node, parts in self.blocks:
-            joined = "".join(parts)
-            while node >= 0:
-                below[node].append(joined)
-                node = self.parent[node]
+        for pieces in self.blocks:
+            for node, piece in pieces:
+                while node >= 0:
+                    below[node].append(piece)
+                    node = self.parent[node]
         by_path: dict[int, list] = {}
         for k in range(1, len(self.parent)):
             up, style, content = by_path.setdefault(self.path[k], [self.path[self.parent[k]], [], []])
@@ -157,12 +190,18 @@ class Page:
             up = self.parent[k]
             main[k] = main[up] or (self.tag[k] in ARTICLE and not self.noise[k])
             marked[k] = not main[k] and (marked[up] or self.path[k] in low)
-        clean = [(node, " ".join("".join(parts).split())) for node, parts in self.blocks if not self.noise[node]]
-        clean = [(node, block) for node, block in clean if block]
-        if any(main[node] for node, _ in clean):
-            clean = [(node, block) for node, block in clean if main[node]]
-        kept = [block for node, block in clean if not marked[node]]
-        return "\n".join(kept or [block for _, block in clean])
+        clean = []
+        for pieces in self.blocks:
+            kept = [(node, piece) for node, piece in pieces if not self.noise[node]]
+            block = " ".join("".join([piece for _, piece in kept]).split())
+            if block:
+                said = [node for node, piece in kept if not piece.isspace()]
+                clean.append((block, all(marked[node] for node in said), any(main[node] for node in said)))
+        kept = [(block, inside) for block, repeat, inside in clean if not repeat]
+        kept = kept or [(block, inside) for block, _, inside in clean]
+        if 2 * sum(len(block) for block, inside in kept if inside) > sum(len(block) for block, _ in kept):
+            kept = [(block, inside) for block, inside in kept if inside]
+        return "\n".join([block for block, _ in kept])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
