@@ -412,6 +412,33 @@ def test_valid_values_keep_their_format(value, kind):
     assert names.replace(f"{value} x")[0][: len(value)] == new[4 : 4 + len(value)]  # linked
 
 
+@pytest.mark.parametrize("value, kind, before, after", [
+    ("DE89 3704 0044 0532 0130 00", "iban", "IBAN ", " BIC COBADEFFXXX"), ("DE89370400440532013000", "iban", "", " BIC COBADEFF"),
+    ("DE89 3704 0044 0532 0130 00", "iban", "AB12 PAY TO ACCOUNT NUMBER ", " AMOUNT 20 EUR"), ("DE89370400440532013000", "iban", "AB12 ", " 7"),
+    ("4111 1111 1111 1111", "card", "card 12 ", ""), ("4111 1111 1111 1111", "card", "", " 123"), ("4111111111111111", "card", "No 7 ", " 12 34"),
+    ("4111 1111 1111 1111", "card", "5555 ", " 22"), ("4241-3459-1485-4898", "card", "2024 ", " 08"), ("3782 822463 10005", "card", "99 ", " 1234"),
+    ("25/12/1990", "date", "born ", " in"), ("12/25/1990", "date", "born ", " in")])
+def test_values_beside_numbers_and_capitals(value, kind, before, after):
+    names = pseudonyms.Pseudonyms(b"k")
+    new, found = names.replace(before + value + after)
+    assert found == [{"kind": kind, "start": len(before), "end": len(before + value)}]
+    changed = new[len(before) : len(new) - len(after)]
+    assert new == before + changed + after and changed != value and names.replace(new)[1] == found
+    assert names.replace(f"see {value} there")[0] == f"see {changed} there"
+
+
+def test_all_values_of_a_run():
+    names = pseudonyms.Pseudonyms(b"k")
+    run = "DE89 3704 0044 0532 0130 00 4111 1111 1111 1111 4241345914854898 GB82 WEST 1234 5698 7654 32 X"
+    new, found = names.replace(run)
+    assert [(run[f["start"] : f["end"]], f["kind"]) for f in found] == [
+        ("DE89 3704 0044 0532 0130 00", "iban"), ("4111 1111 1111 1111", "card"), ("4241345914854898", "card"),
+        ("GB82 WEST 1234 5698 7654 32", "iban")]
+    first = [f"{d:02d}/{m:02d}/1990" for d in range(13, 29) for m in range(1, 13)]
+    dates = [names.replace(v)[0] for v in first + [f"{v[3:6]}{v[:3]}1990" for v in first]]
+    assert len(set(dates)) == len(dates) and all(int(v[:2]) > 12 for v in dates[: len(first)])
+
+
 @pytest.mark.parametrize("value", ["4241345914854890", "000-12-3456", "2023-02-29", "300.1.1.1", "Version 2.0.", "+1 (118) 055-4092"])
 def test_invalid_values_stay(value):
     assert pseudonyms.Pseudonyms(b"k").replace(f"see {value} there")[0] == f"see {value} there"

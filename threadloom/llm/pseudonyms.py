@@ -5,7 +5,8 @@ accounts by theirs, telephone and social security numbers by their reserved rang
 machines by theirs, dates by the calendar. A valid value is permuted among all valid values of its
 format: the same value gives the same pseudonym in every document, two values never share one, and
 separators, lengths and check digits stay right. Mail addresses and secrets are permuted letter for
-letter within the same classes of characters.
+letter within the same classes of characters. Cards and accounts are looked for in whole runs of numbers
+and capitals, from each group of characters to each end, so that what stands beside a value does not hide it.
 
 Defined results: a null text stays null and an empty one empty; repeated rows are changed alike; a
 text without values is returned as it is.
@@ -28,8 +29,16 @@ FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Shapes of the values that are looked for.
-CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)")
-IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)")
+CARDS = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-]|\.\d)")
+ISSUED = re.compile(
+    r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7])\d{14}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}|(?:6\d|35)\d{14,17}")
+IBANS = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,}(?!\w)")
+IBAN_START = re.compile(r"(?<!\w)[A-Z]{2}\d{2}")
+IBAN_LENGTH = {country: int(n) for n, countries in (pair.split(":") for pair in (
+    "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+    "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split())
+    for country in countries.split(",")}
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 PHONE = re.compile(r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)")
 ABROAD = re.compile(r"(?<![\w+])\+[2-9]\d{0,2}(?:[ ./-]?\(?\d{1,5}\)?){2,6}(?!\w)")
@@ -87,7 +96,7 @@ class Pseudonyms:
         self.key = key
         self.permutation = lru_cache(maxsize=4096)(lambda kind, size: Feistel(self.key, kind, size))
         self.kinds = [("key", KEY, self.secret), ("secret", ASSIGNED, self.secret), ("email", MAIL, self.mail),
-                      ("iban", IBAN, self.iban), ("card", CARD, self.card), ("ssn", SSN, self.ssn),
+                      ("iban", IBANS, self.iban), ("card", CARDS, self.card), ("ssn", SSN, self.ssn),
                       ("phone", PHONE, self.phone), ("phone", ABROAD, self.abroad), ("ip", IPV4, self.ip),
                       ("date", ISO_DATE, self.date), ("date", DOT_DATE, self.date), ("date", SLASH_DATE, self.date)]
 
@@ -130,20 +139,50 @@ class Pseudonyms:
         mixed = self.letters("mail", f"{name}@{first}")
         return mixed + dot + rest
 
-    def iban(self, m: re.Match) -> str | None:
-        plain = m[0].replace(" ", "")
+    def ibans(self, text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+        """Places of possible accounts in a run, those of their country's length first."""
+        out = []
+        for m in IBAN_START.finditer(text, lo, hi):
+            known, n = IBAN_LENGTH.get(m[0][:2]), 0
+            for at in range(m.start(), hi):
+                n += text[at] != " "
+                if n > 34:
+                    break
+                if n >= 15 and text[at] != " " and (at + 1 == hi or text[at + 1] == " "):
+                    if n == known or known is None or (m.start(), at + 1) == (lo, hi):
+                        out.append((n != known, m.start(), -n, at + 1))
+        return [(start, end) for _, start, _, end in sorted(out)]
+
+    def iban(self, value: str) -> str | None:
+        plain = value.replace(" ", "")
         if mod97(plain[4:] + plain[:4]) != 1:
             return None
         body = self.letters("iban", plain[4:])
         check = 98 - mod97(body + plain[:2] + "00")
-        return refill(m[0], iter(plain[:2] + f"{check:02d}" + body), str.isalnum)
-
-    def card(self, m: re.Match) -> str | None:
-        plain = re.sub(r"\D", "", m[0])
+        return refill(value, iter(plain[:2] + f"{check:02d}" + body), str.isalnum)
+
+    def cards(self, text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+        """Places of possible cards in a run, those an issuer gives out first, then the longest."""
+        groups = [m.span() for m in re.compile("[0-9]+").finditer(text, lo, hi)]
+        out = []
+        for k, (start, _) in enumerate(groups):
+            plain, short = "", 19
+            for first, end in groups[k:]:
+                plain, short = plain + text[first:end], min(short, end - first)
+                if len(plain) > 19:
+                    break
+                issued = ISSUED.fullmatch(plain) is not None
+                # numbers of few digits in a row are a table rather than a card
+                if len(plain) >= 13 and (short >= (2 if issued else 3) or (start, end) == (lo, hi)):
+                    out.append((not issued, -len(plain), start, end))
+        return [(start, end) for _, _, start, end in sorted(out)]
+
+    def card(self, value: str) -> str | None:
+        plain = re.sub(r"\D", "", value)
         if luhn(plain[:-1]) != int(plain[-1]) or len(set(plain)) == 1:
             return None
         body = plain[0] + self.digits("card", plain[1:-1])
-        return refill(m[0], iter(body + str(luhn(body))), str.isdigit)
+        return refill(value, iter(body + str(luhn(body))), str.isdigit)
 
     def ssn(self, m: re.Match) -> str | None:
         valid = lambda d: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
@@ -183,16 +222,25 @@ class Pseudonyms:
                 return ".".join(map(str, new[::-1]))
 
     def date(self, m: re.Match) -> str | None:
-        try:
-            day = date(int(m["y"]), int(m["m"]), int(m["d"]))
-        except ValueError:
+        """With slashes the month is first, or the day where that is no date."""
+        dates = [("y", "m", "d"), ("y", "d", "m")] if m.re is SLASH_DATE else [("y", "m", "d")]
+        for names in dates:
+            try:
+                old = date(*[int(m[name]) for name in names])
+                break
+            except ValueError:
+                continue
+        else:
             return None
-        if not FIRST_DAY <= day <= LAST_DAY:
+        if not FIRST_DAY <= old <= LAST_DAY:
             return None
-        span = (LAST_DAY - FIRST_DAY).days + 1
-        new = FIRST_DAY + timedelta(days=self.permutation("date", span)((day - FIRST_DAY).days))
+        permute = self.permutation("date", (LAST_DAY - FIRST_DAY).days + 1)
+        number = permute((old - FIRST_DAY).days)
+        while names != dates[0] and (FIRST_DAY + timedelta(days=number)).day <= 12:  # stays day-first
+            number = permute(number)
+        new = FIRST_DAY + timedelta(days=number)
         out = list(m[0])
-        for name, value in (("y", f"{new.year:04d}"), ("m", f"{new.month:02d}"), ("d", f"{new.day:02d}")):
+        for name, value in zip(names, (f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}")):
             out[m.start(name) - m.start() : m.end(name) - m.start()] = value
         return "".join(out)
 
@@ -203,10 +251,17 @@ class Pseudonyms:
                "key": any(sign in text for sign in ("AKIA", "sk-", "xox", "_"))}
         found: list[tuple[int, int, str, str]] = []
         taken: set[int] = set()
+        runs = {"iban": self.ibans, "card": self.cards}
         for kind, pattern, change in self.kinds:
             if not may.get(kind, digit):  # a character the pattern needs is not there
                 continue
             for m in pattern.finditer(text):
+                if kind in runs:
+                    for start, end in runs[kind](text, *m.span()):
+                        if taken.isdisjoint(range(start, end)) and (new := change(text[start:end])) is not None:
+                            found.append((start, end, kind, new))
+                            taken.update(range(start, end))
+                    continue
                 if not taken.isdisjoint((m.start(), m.end() - 1)):
                     continue
                 new = change(m)
