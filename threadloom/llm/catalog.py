@@ -117,3 +117,50 @@ def op7(spark, sf_dir):
     from threadloom.llm.pseudonyms import pseudonyms
 
     return pseudonyms(table(spark, sf_dir, "documents"), DEMO_KEY)
+
+
+# crc32 of a text of ASCII characters, by its definition: a step per bit.
+CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x // 2, 3988292384 * (x % 2)))))"""
+
+
+def merkle_leaf(text: str) -> str:
+    parts = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+def merkle_levels(name: str, start: str) -> str:
+    """All levels of the trees whose leaves are ``start(tree, n, pos, h)``, and each node's siblings in its run."""
+    run = "PARTITION BY tree, level, pos // 3 ORDER BY pos ROWS BETWEEN"
+    return f"""{name}_levels AS (SELECT tree, n, 0::BIGINT AS level, pos, h FROM {start}
+  UNION ALL SELECT tree, (n + 2) // 3, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM {name}_levels WHERE n > 1
+  GROUP BY tree, n, level, pos // 3),
+{name}_steps AS (SELECT *, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+  coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {name}_levels),
+{name}_roots AS (SELECT tree, h FROM {name}_levels WHERE n = 1)"""
+
+
+def merkle_ways(name: str, start: str) -> str:
+    """The way of each row of ``start(rid, tree, pos, proof, fold)`` to the root of its tree."""
+    return f"""{name}_ways AS (SELECT rid, tree, pos, 0::BIGINT AS level, proof, fold, false AS done FROM {start}
+  UNION ALL SELECT w.rid, w.tree, w.pos // 3, w.level + 1, w.proof || s.b || s.a, CASE WHEN s.n > 1 THEN sha256(s.b || w.fold || s.a) ELSE w.fold END, s.n = 1
+  FROM {name}_ways w JOIN {name}_steps s ON s.tree = w.tree AND s.level = w.level AND s.pos = w.pos WHERE NOT w.done)"""
+
+
+@op("op11_merkle_manifest", f"""WITH RECURSIVE rows_ AS (SELECT *, coalesce('1' || source, '0') AS tree, {merkle_leaf("text")} AS leaf,
+  {merkle_leaf("replace(text, chr(10), '')")} AS bare, {CRC32.format("coalesce(doc_id::VARCHAR, '')")} % 2 = 0 AS even FROM documents),
+leaves AS (SELECT *, row_number() OVER () AS rid, leaf AS h, count(*) OVER (PARTITION BY tree) AS n,
+  row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM rows_),
+{merkle_levels("own", "leaves")},
+tops AS (SELECT h, 'top' AS tree, tree AS key, count(*) OVER () AS n, row_number() OVER (ORDER BY tree) - 1 AS pos FROM own_roots),
+{merkle_levels("top", "tops")},
+starts AS (SELECT rid, tree, pos, '' AS proof, CASE WHEN even THEN bare ELSE leaf END AS fold FROM leaves),
+{merkle_ways("own", "starts")},
+upper AS (SELECT w.rid, t.tree, t.pos, w.proof, w.fold FROM own_ways w JOIN tops t ON t.key = w.tree WHERE w.done),
+{merkle_ways("top", "upper")}
+SELECT l.doc_id, l.leaf, s.h AS subroot, r.h AS root, sha256(w.proof) AS proof_sha256, w.fold AS folded_root, w.fold = r.h AS verified
+FROM top_ways w JOIN leaves l USING (rid) JOIN own_roots s ON s.tree = l.tree, top_roots r WHERE w.done""")
+def op11(spark, sf_dir):
+    from threadloom.llm.manifest import verified
+
+    return verified(table(spark, sf_dir, "documents"))
