@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.session import prepare
+from threadloom.session import prepare, scratch_path
 from threadloom.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,12 @@ def op11(spark, sf_dir):
     from threadloom.llm.manifest import verified
 
     return verified(table(spark, sf_dir, "documents"))
+
+
+@op("op13_token_files")
+def op13(spark, sf_dir):
+    from threadloom.llm.token_files import read_tokens, write_tokens
+
+    folder = scratch_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), folder)
+    return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
