@@ -173,3 +173,31 @@ def op13(spark, sf_dir):
     folder = scratch_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), folder)
     return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def lloyd_sql(rounds: int) -> str:
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (SELECT * FROM (SELECT p.rid, p.part, b.e, sum((p.x - b.x) * (p.x - b.x))::BIGINT AS d
+  FROM points p JOIN book{k} b USING (part, pos) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY d, e) = 1)""")
+        if k < rounds:
+            steps.append(f"""book{k + 1} AS MATERIALIZED (SELECT part, e, pos, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN (
+  SELECT part, e, pos, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM points JOIN near{k} USING (rid, part) GROUP BY ALL) m USING (part, e, pos))""")
+    return ",\n".join(steps)
+
+
+@op("op12_cover_tree_codes", f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label,
+  list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+points AS MATERIALIZED (SELECT rid, i // (len(v) // 4) AS part, i % (len(v) // 4) AS pos, v[i + 1] AS x
+  FROM (SELECT rid, v, unnest(range(len(v))) AS i FROM kept)),
+book0 AS MATERIALIZED (SELECT part, e, pos, x FROM points JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept
+  QUALIFY e < 256) USING (rid)),
+{lloyd_sql(4)},
+coded AS (SELECT rid, string_agg(format('{{:02x}}', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near4 GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, e, pos)) FROM book4) AS codebooks_sha256 FROM kept JOIN coded USING (rid)""")
+def op12(spark, sf_dir):
+    from threadloom.llm.cover_codes import codes
+
+    return codes(table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector")))
