@@ -5,7 +5,8 @@ accounts by theirs, telephone and social security numbers by their reserved rang
 machines by theirs, dates by the calendar. A valid value is permuted among all valid values of its
 format: the same value gives the same pseudonym in every document, two values never share one, and
 separators, lengths and check digits stay right. Mail addresses and secrets are permuted letter for
-letter within the same classes of characters. Cards and accounts are looked for in whole runs of numbers
+letter within the same classes of characters. No character is taken twice: where a secret holds another
+value, that value is changed as it is anywhere, and the rest of the secret around it. Cards and accounts are looked for in whole runs of numbers
 and capitals, from each group of characters to each end, so that what stands beside a value does not hide it.
 
 Defined results: a null text stays null and an empty one empty; repeated rows are changed alike; a
@@ -19,6 +20,7 @@ import re
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,11 +36,18 @@ ISSUED = re.compile(
     r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7])\d{14}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}|(?:6\d|35)\d{14,17}")
 IBANS = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,}(?!\w)")
 IBAN_START = re.compile(r"(?<!\w)[A-Z]{2}\d{2}")
-IBAN_LENGTH = {country: int(n) for n, countries in (pair.split(":") for pair in (
-    "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
-    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
-    "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split())
-    for country in countries.split(",")}
+# Length of an account number by country.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27,
+    "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23,
+    "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27,
+    "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25,
+    "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18,
+    "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33,
+    "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28,
+    "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 PHONE = re.compile(r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)")
 ABROAD = re.compile(r"(?<![\w+])\+[2-9]\d{0,2}(?:[ ./-]?\(?\d{1,5}\)?){2,6}(?!\w)")
@@ -91,6 +100,14 @@ def mod97(account: str) -> int:
     return int("".join(str(int(c, 36)) for c in account)) % 97
 
 
+def free(taken: set[int], start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Runs of places that are not taken."""
+    for is_taken, run in groupby(range(start, end), taken.__contains__):
+        if not is_taken:
+            places = list(run)
+            yield places[0], places[-1] + 1
+
+
 class Pseudonyms:
     def __init__(self, key: bytes):
         self.key = key
@@ -162,20 +179,24 @@ class Pseudonyms:
         return refill(value, iter(plain[:2] + f"{check:02d}" + body), str.isalnum)
 
     def cards(self, text: str, lo: int, hi: int) -> list[tuple[int, int]]:
-        """Places of possible cards in a run, those an issuer gives out first, then the longest."""
+        """Places of possible cards in a run: those an issuer gives out first, then those parted as cards
+        are, then the longest. A card has one kind of separator."""
         groups = [m.span() for m in re.compile("[0-9]+").finditer(text, lo, hi)]
         out = []
         for k, (start, _) in enumerate(groups):
-            plain, short = "", 19
-            for first, end in groups[k:]:
-                plain, short = plain + text[first:end], min(short, end - first)
-                if len(plain) > 19:
+            plain, sizes, signs = "", [], set()
+            for j, (first, end) in enumerate(groups[k:], k):
+                if sizes:
+                    signs.add(text[groups[j - 1][1] : first])
+                plain, sizes = plain + text[first:end], [*sizes, end - first]
+                if len(plain) > 19 or len(signs) > 1:
                     break
                 issued = ISSUED.fullmatch(plain) is not None
+                usual = len(sizes) == 1 or set(sizes[:-1]) == {4} and sizes[-1] <= 4 or sizes[:2] == [4, 6]
                 # numbers of few digits in a row are a table rather than a card
-                if len(plain) >= 13 and (short >= (2 if issued else 3) or (start, end) == (lo, hi)):
-                    out.append((not issued, -len(plain), start, end))
-        return [(start, end) for _, _, start, end in sorted(out)]
+                if len(plain) >= 13 and (min(sizes) >= (2 if issued else 3) or (start, end) == (lo, hi)):
+                    out.append((not issued, not usual, -len(plain), start, end))
+        return [(start, end) for _, _, _, start, end in sorted(out)]
 
     def card(self, value: str) -> str | None:
         plain = re.sub(r"\D", "", value)
@@ -262,7 +283,11 @@ class Pseudonyms:
                             found.append((start, end, kind, new))
                             taken.update(range(start, end))
                     continue
-                if not taken.isdisjoint((m.start(), m.end() - 1)):
+                if not taken.isdisjoint(range(*m.span())):
+                    if kind == "secret":  # another value stands in it: what is left of it is a secret still
+                        for start, end in free(taken, *m.span("v")):
+                            found.append((start, end, kind, self.letters("secret", text[start:end])))
+                            taken.update(range(start, end))
                     continue
                 new = change(m)
                 if new is not None:
