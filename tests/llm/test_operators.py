@@ -562,6 +562,39 @@ def test_main_texts_stay_whole(source, text):
     assert html.Page(source).text() == text and html.Page(f"<html><body>{source}").text() == text
 
 
+@pytest.mark.parametrize("source, text", [
+    ("<html><head><title>t</title><body><p>one</p>", "one"), ("<head><meta a=b><p>one", "one"), ("<html><head>one", "one"),
+    ("The <span class='search-term'>word</span> is kept", "The word is kept"), ("<p data-id='share-1'>one two</p>", "one two"),
+    ("<article><p>One.</p><section class=related-work><p>We compare with eight other systems of this kind.</p></section></article>",
+     "One.\nWe compare with eight other systems of this kind."),
+    ("<article><p>One.</p><section class=related-posts><p>We compare with eight other systems of this kind.</p></section></article>", "One."),
+    ("a < b and c > d", "a < b and c > d"), ("<p>x<a title='>' href=y>z</a>", "xz"), ("<p>1 <!-- <p>no</p> --> 2", "1 2"),
+    ("<p>a<!doctype x>b", "ab"), ("<SCRIPT>x</Script >one", "one"), ("<frameset><frame src=x><noframes>one</noframes></frameset>", "one"),
+    ("<a b='x>one</a>two", "onetwo")])
+def test_tags_left_out_or_odd(source, text):
+    assert html.Page(source).text() == text
+
+
+@pytest.mark.parametrize("unit", [
+    "<a ", "<svg>", '<a ">" ', "<a b='", "<!", "<!--", "<script", "<script>", "<", "</", "<p class=x>", "<noscript>", "<a '\"", "<b><i>x",
+    "<div>x", "<div></p>", "<i></b>", "<p><b><i>", "<b><p><i></b>", "<i><hr>", "\" > <x ' ", "<article><p class=related-x>Many words. "])
+def test_long_pages_with_open_tags(unit):
+    """Time grows with the page: a quadratic reader would take minutes for these."""
+    page = html.Page(unit * (400_000 // len(unit)))
+    assert page.text() is not None and len(list(page.nodes())) < 400_000
+
+
+def test_pages_meet_their_lists_in_either_way(spark, monkeypatch):
+    rows = [(k, f"http://a.example/{k}", f"<body><div><span>Our site</span></div><div class=x>Text {k} of page {k * 7}</div></body>") for k in range(40)]
+    rows += [(100 + k, f"http://b{k % 9}.example/", f"<div>b</div><p>{k} words") for k in range(30)] + [(200, None, "<p>x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(
+        {name: F.lit("x") for name in ("host", "low", "salt", "often", "n", "text")})
+    got = [collections.Counter(map(tuple, html.main_text(df).collect()))]
+    monkeypatch.setattr(html, "fits_broadcast", lambda df: False)
+    got.append(collections.Counter(map(tuple, html.main_text(df).collect())))
+    assert got[0] == got[1] and sum(got[0].values()) == len(rows)
+
+
 def test_repeats_inside_a_block_stay(spark):
     rows = [(k, f"http://a.example/{k}", f"<body><p><b>Note:</b> text {k} of page {k * 7}</p></body>") for k in range(12)]
     got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

@@ -29,22 +29,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.session import fits_broadcast, stored
+
 GAMMA = 0.9
 LOW = 0.3
 MIN_PAGES = 4
+SALTS = 64
+PRIME, FACTOR = (1 << 61) - 1, 0x9E3779B97F4A7C15
 
-ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    # without content, whether closed by itself or never closed; text to the end only where HTML says so
-    rf"|<(?:script|style|textarea|title|noscript|iframe|svg|template|select)(?=[\s/>]){ATTRIBUTES}(?<=/)>"
-    rf"|<(script|style|textarea|title)(?=[\s/>])(?:{ATTRIBUTES}|[^>]*)>.*?(?:</\1\s*>|\Z)"
-    rf"|<(noscript|iframe|svg|template|select)(?=[\s/>])(?:{ATTRIBUTES}|[^>]*)>.*?</\2\s*>"
-    r"|</?(?:noscript|iframe|svg|template|select)(?=[\s/>])[^>]*>"
-    rf"|<(/?)([a-z][^\s/>]*)({ATTRIBUTES})>"
-    r"|<(/?)([a-z][^\s/>]*)([^>]*)>"
-    r"|<[!?][^>]*>", re.S | re.I)
-NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# A tag whose attributes hold no angle bracket: nearly all. Others are read by ``tags`` step by step.
+TAG = re.compile(r"<(/?)([a-z][^\s/<>]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*+)>", re.I)
+START = re.compile(r"</?[a-z][^\s/<>]*", re.I)
+QUOTED = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+NAMES = frozenset(("class", "id", "role"))
 
 # Elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,14 +54,95 @@ ARTICLE = frozenset(("article", "main"))
 WRAPPERS = frozenset(("form", "fieldset", "object"))
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|sidebar|aside|banner|cookies?|"
-    r"consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|ads?|advert|adverts|advertisement|"
-    r"promo|promotion|sponsor|sponsored|social|share|sharing|related|recommended|comments?|disqus|repl(?:y|ies)|"
-    r"login|signup|search|pagination|pager|widget|toolbar|contentinfo|complementary|skip)(?:$|[\s_-])", re.I)
+# Elements without text of the page: some end where the page does if they have no end tag, others are then passed by.
+UNREAD = frozenset("script style textarea title noscript iframe svg template select".split())
+TO_END = frozenset("script style textarea title".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template noframes".split())
+NOISE = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar aside banner cookie cookies "
+    "consent gdpr notice notices alert popup modal overlay newsletter subscribe ad ads advert adverts advertisement "
+    "promo promotion sponsor sponsored social share sharing related recommended comment comments disqus reply replies "
+    "login signup search pagination pager widget toolbar contentinfo complementary skip".split())
+# Words that say where or what kind of noise it is, not what else.
+BESIDE = frozenset(
+    "site main page top bottom left right global primary secondary list item items box bar block section container "
+    "wrapper wrap area inner outer link links button buttons btn icon icons label badge marker tag title heading form "
+    "field input slot unit post posts article articles story stories news count thread panel dialog to".split())
+ON_A_LINE = frozenset("label badge icon icons button buttons btn link links count tag marker".split())
+SENTENCES = 8  # words
 MODIFIER = re.compile(r"(?<!\S)(?:no|not|non|has|have|with|without|hide)[_-]\S*", re.I)
 
 
+def noise_of(hints: str, inline: bool) -> int:
+    """2 if a class, id or role names noise and nothing else, 1 if it names something else as well, else 0.
+    On a line only a whole name counts, or one of a label, button or the like."""
+    level = 0
+    for name in hints.lower().split():
+        words = [w for w in re.split("[_-]+", name) if w]
+        if not NOISE.intersection(words):
+            continue
+        if inline:
+            level = max(level, 2 * (words[0] in NOISE and ON_A_LINE.issuperset(words[1:])))
+        else:
+            level = max(level, 2 if all(w in NOISE or w in BESIDE for w in words) else 1)
+    return level
+
+
+def tags(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Start and end of each tag or passage that is no text, with ``/`` of an end tag, name and attributes; names
+    are empty where nothing but the text around matters. Each character is looked at a bounded number of times,
+    whatever is left open: what is not found once is not looked for again."""
+    at, lower, missing, quotes = 0, None, set(), True
+    while (at := html.find("<", at)) >= 0:
+        start, sign = at, html[at + 1 : at + 2]
+        if m := TAG.match(html, at):
+            at, closing, name, rest = m.end(), m[1], m[2].lower(), m[3]
+        elif sign == "!" or sign == "?":
+            mark = "-->" if html.startswith("<!--", at) else ">"
+            found = html.find(mark, at + 2) if mark not in missing else -1
+            if found < 0 and mark == ">":
+                missing.add(mark)
+                at += 1
+                continue
+            at = found + len(mark) if found >= 0 else len(html)
+            yield start, at, "", "", ""
+            continue
+        elif m := START.match(html, at):
+            end, place = -1, m.end()
+            while quotes:  # the end that stands in no quotes
+                q = QUOTED.search(html, place)
+                if q and q[0] == ">":
+                    end = q.start()
+                    break
+                place = html.find(q[0], q.end()) + 1 if q else 0
+                quotes = place > 0  # else quotes do not close any more, here or later
+            if end < 0 and ">" not in missing:
+                end = html.find(">", m.end())
+            if end < 0:
+                missing.add(">")
+                at += 1
+                continue
+            closing, name, rest, at = "/" * m[0].startswith("</"), m[0].lstrip("</").lower(), html[m.end() : end], end + 1
+        else:
+            at += 1
+            continue
+        if name in UNREAD:
+            if not closing and not rest.endswith("/") and name not in missing:
+                lower = html.lower() if lower is None else lower
+                if len(lower) != len(html):  # letters that lower to several: only where none changes places
+                    lower = re.sub("[A-Z]+", lambda m: m[0].lower(), html)
+                m = re.compile(rf"</{name}(?=[\s/>])[^>]*>?").search(lower, at)
+                if m:
+                    at = m.end()
+                elif name in TO_END:
+                    at = len(html)
+                else:
+                    missing.add(name)
+            yield start, at, "", "" if name not in IN_HEAD else name, ""
+            continue
+        yield start, at, closing, name, rest
+
+
 def hash64(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -73,65 +152,76 @@ class Page:
 
     def __init__(self, html: str):
         self.parent, self.path, self.tag, self.noise, self.children = [-1], [hash64("")], [""], [False], [[]]
+        self.unsure: set[int] = set()
         self.blocks: list[list[tuple[int, str]]] = []
         stack, at, open_block = [0], 0, False
+        self.places: dict[str, list[int]] = {}  # of open elements, by tag
+        blocks = [0]
+
+        def shut(place: int) -> None:
+            while len(stack) > place:
+                tag = self.tag[stack.pop()]
+                self.places[tag].pop()
+                if tag not in INLINE:
+                    blocks.pop()
 
         def text(raw: str) -> None:
             nonlocal open_block
             if not raw or (not open_block and raw.isspace()):
                 return
+            if self.tag[stack[-1]] == "head" and not raw.isspace():
+                shut(len(stack) - 1)  # the end tag may be left out; text is not in a head
             if not open_block:
                 self.blocks.append([])
                 open_block = True
             self.blocks[-1].append((stack[-1], unescape(raw) if "&" in raw else raw))
 
-        for m in TAG.finditer(html):
-            if m.start() > at:
-                text(html[at : m.start()])
-            at = m.end()
-            name = m[4] or m[7]
-            if not name:
+        for start, end, closing, name, rest in tags(html):
+            if start > at:
+                text(html[at:start])
+            at = end
+            if not name or name in UNREAD:
                 continue
-            name, closing, rest = name.lower(), m[3] or m[6], m[5] or m[8] or ""
             if name == "br":
                 text(" ")
                 continue
+            if self.tag[stack[-1]] == "head" and not closing and name not in IN_HEAD:
+                shut(len(stack) - 1)
             block = name not in INLINE
             if block:
                 open_block = False
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        del stack[k:]
-                        break
-                    if not block and self.tag[stack[k]] not in INLINE:
-                        break
+                places = self.places.get(name)
+                if places and (block or places[-1] > blocks[-1]):
+                    shut(places[-1])
                 continue
-            if block:
-                closed = CLOSES.get(name, ())
-                for k in range(len(stack) - 1, 0, -1):
-                    tag = self.tag[stack[k]]
-                    if tag == "p" or tag in closed:
-                        del stack[k:]
-                        break
-                    if tag not in INLINE and tag not in closed:
-                        break
+            if block and (self.tag[stack[blocks[-1]]] == "p" or self.tag[stack[blocks[-1]]] in CLOSES.get(name, ())):
+                shut(blocks[-1])
             if name in VOID:
                 continue
             self._open(stack, name, rest)
             if rest.endswith("/") and name not in INLINE and name not in ("p", "div"):
                 stack.pop()
+                continue
+            self.places.setdefault(name, []).append(len(stack) - 1)
+            if block:
+                blocks.append(len(stack) - 1)
         text(html[at:])
         self._settle()
 
     def _open(self, stack: list[int], name: str, rest: str) -> None:
         up, hints = stack[-1], ""
         if rest and "=" in rest:
-            hints = " ".join(m[2] or m[3] or m[4] or "" for m in NAMED.finditer(rest))
-        noise = name in NOT_TEXT or (bool(hints) and name not in ("html", "body", "article", "main")
-                                     and bool(HINT.search(MODIFIER.sub(" ", hints))))
+            hints = " ".join(m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest) if m[1].lower() in NAMES)
+        said = MODIFIER.sub(" ", hints) if hints and name not in ("html", "body", "article", "main") else ""
         if name == "header" and any(self.tag[k] in ARTICLE for k in stack):
-            noise = bool(HINT.search(MODIFIER.sub(" ", hints).replace("header", "")))
+            said, name_is_noise = said.replace("header", ""), False
+        else:
+            name_is_noise = name in NOT_TEXT
+        level = noise_of(said, name in INLINE) if said else 0
+        noise = name_is_noise or level > 0
+        if level == 1 and not name_is_noise and any(self.tag[k] in ARTICLE for k in stack):
+            self.unsure.add(len(self.parent))
         key = f"{name}.{hints}" if hints else name
         self.parent.append(up)
         self.path.append(hash64(f"{self.path[up]}>{key}"))
@@ -148,6 +238,17 @@ class Page:
         main or h1 stands in it, or hardly any other text is left beside it."""
         n = len(self.parent)
         size, clean, whole = [0] * n, [0] * n, [False] * n
+        if self.unsure:  # in an article: sentences are no noise for a name that also names something else
+            says = [False] * n
+            for pieces in self.blocks:
+                said = "".join(piece for _, piece in pieces)
+                if len(said.split()) >= SENTENCES and re.search(r"[.!?。！？]", said):
+                    for node, piece in pieces:
+                        says[node] |= not piece.isspace()
+            for k in range(n - 1, 0, -1):
+                says[self.parent[k]] |= says[k]
+                if says[k] and k in self.unsure:
+                    self.noise[k] = False
         if any(self.noise):
             inherited = [False] * n
             for k in range(1, n):
@@ -168,17 +269,23 @@ class Page:
 
     def nodes(self) -> Iterator[tuple[int, int, int, int]]:
         """Per path: the parent's path, the presentation and the content below it, as hashes."""
-        below: list[list[str]] = [[] for _ in self.parent]
+        # the pieces below an element stand together, so a hash of any such run follows from those of all starts
+        n = len(self.parent)
+        first, last, upto, powers = [1 << 60] * n, [0] * n, [0], [1]
         for pieces in self.blocks:
             for node, piece in pieces:
-                while node >= 0:
-                    below[node].append(piece)
-                    node = self.parent[node]
+                first[node], last[node] = min(first[node], len(upto) - 1), len(upto)
+                upto.append((upto[-1] * FACTOR + hash64(piece)) % PRIME)
+                powers.append(powers[-1] * FACTOR % PRIME)
+        for k in range(n - 1, 0, -1):
+            up = self.parent[k]
+            first[up], last[up] = min(first[up], first[k]), max(last[up], last[k])
         by_path: dict[int, list] = {}
-        for k in range(1, len(self.parent)):
+        for k in range(1, n):
             up, style, content = by_path.setdefault(self.path[k], [self.path[self.parent[k]], [], []])
             style.append(",".join(self.children[k]))
-            content.extend(below[k])
+            if last[k]:
+                content.append(f"{(upto[last[k]] - upto[first[k]] * powers[last[k] - first[k]]) % PRIME}")
         for path, (up, style, content) in by_path.items():
             yield path, up, hash64(";".join(dict.fromkeys(style))), hash64("\n".join(content))
 
@@ -248,11 +355,26 @@ def style_tree(pages: DataFrame) -> DataFrame:
             .groupBy("host").agg(F.collect_set("path").alias("low")))
 
 
+def with_lists(pages: DataFrame, low: DataFrame) -> DataFrame:
+    """``pages`` with the list ``low`` of their host. Lists that fit go to all tasks, and no page moves. Otherwise
+    pages and lists meet by host; of hosts that hold a two-hundredth of the pages or more (two hundred at most), the
+    pages are dealt to SALTS keys and the lists stand at each of them."""
+    if fits_broadcast(low):
+        return pages.join(F.broadcast(low), "host", "left")
+    counts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0]
+    often = F.broadcast(counts.filter(F.col("n") * 200 >= total).select("host", F.lit(True).alias("often")))
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("often"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = low.join(often, "host", "left").withColumn("salt", F.explode(salts)).drop("often")
+    return pages.join(often, "host", "left").withColumn("salt", salt).drop("often").join(dealt, ["host", "salt"], "left")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page ``(page_id, url, html)``."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
-    low = style_tree(pages.filter("host <> ''").select("host", "html"))
+    low = stored(style_tree(pages.filter("host <> ''").select("host", "html")), "html-low")
 
     @F.arrow_udf("string")
     def page_text(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -260,5 +382,5 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pa.array((Page(h or "").text(frozenset(p or ())) for h, p in zip(html.to_pylist(), paths.to_pylist())),
                            pa.string())
 
-    return (pages.join(low, "host", "left").select("page_id", "url", page_text("html", "low").alias("text"))
+    return (with_lists(pages, low).select("page_id", "url", page_text("html", "low").alias("text"))
             .withColumn("n_chars", F.length("text").cast("long")))
