@@ -565,9 +565,9 @@ def test_main_texts_stay_whole(source, text):
 @pytest.mark.parametrize("source, text", [
     ("<html><head><title>t</title><body><p>one</p>", "one"), ("<head><meta a=b><p>one", "one"), ("<html><head>one", "one"),
     ("The <span class='search-term'>word</span> is kept", "The word is kept"), ("<p data-id='share-1'>one two</p>", "one two"),
-    ("<article><p>One.</p><section class=related-work><p>We compare with eight other systems of this kind.</p></section></article>",
-     "One.\nWe compare with eight other systems of this kind."),
-    ("<article><p>One.</p><section class=related-posts><p>We compare with eight other systems of this kind.</p></section></article>", "One."),
+    ("<article><p>Text one is here.</p><section class=related-work><p>We compare with eight other systems of this kind.</p></section></article>",
+     "Text one is here.\nWe compare with eight other systems of this kind."),
+    ("<article><p>Text one is here.</p><section class=related-posts><p>We compare with eight other systems of this kind.</p></section></article>", "Text one is here."),
     ("a < b and c > d", "a < b and c > d"), ("<p>x<a title='>' href=y>z</a>", "xz"), ("<p>1 <!-- <p>no</p> --> 2", "1 2"),
     ("<p>a<!doctype x>b", "ab"), ("<SCRIPT>x</Script >one", "one"), ("<frameset><frame src=x><noframes>one</noframes></frameset>", "one"),
     ("<a b='x>one</a>two", "onetwo")])

@@ -4,7 +4,7 @@ A folder holds shards, each the ids of consecutive documents as one stream cut i
 LENGTH ids. A shard's ``.ids`` file is an Arrow stream whose batches have two columns, ``ids`` and
 ``mask``, both fixed-size lists: batches of as many sequences have as many bytes, so the place of any
 sequence follows from its number, and it is read in place from a mapped file, without a copy. The mask, a
-byte per id, is 0 only behind the last id of a shard. Ids take two bytes each where the vocabulary allows it.
+bit per id, is false only behind the last id of a shard. Ids take two bytes each where the vocabulary allows it.
 The ``.docs`` file beside it has doc_id, start (in the shard) and n_tokens of its documents; the table
 ``_shards`` names the shards in order.
 
@@ -24,6 +24,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -46,11 +47,13 @@ BATCH_SEQUENCES = 64
 GROUP_BYTES = 1 << 21
 READ_IDS = 1 << 20
 LONG_TEXT = 1 << 20
-LONG_CHUNK = 64
+LONG_RUN = 64
+RUNS_KEPT = 600_000
 
 # White space as Unicode defines it, which is what the vocabulary's pattern parts words by.
 SPACE = "\t-\r \x85\xa0  -     　"
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+RUN = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+PARTED = re.compile(rf" (?:[{SPACE}]|\Z)")
 
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids binary"
 SEQUENCES = "shard int, number long, ids array<int>, mask array<boolean>"
@@ -61,41 +64,56 @@ SHARD_FIELDS = pa.schema([("name", pa.string()), ("docs", pa.int64()), ("ids", p
 
 class Encoder:
     """Ids of texts by the tokenizers library. No pre-token of the vocabulary's pattern goes on from a
-    character to white space after it, so a text is the sum of its runs of white space and characters; what
-    the library said of a run is kept, for a bounded number of them."""
+    character to white space after it, so a text is the sum of runs of white space with what follows; what the
+    library said of a run is kept, for a bounded number of them. Nearly all runs are one space and a word."""
 
     def __init__(self, path: str = VOCABULARY):
         self.library, self.special = library(path), special_strings(path)
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo = Memo(self._encode)
+        self.runs = Memo(self._encode, RUNS_KEPT // 10)
+        self.words = Memo(lambda words: self._encode([f" {w}" for w in words]), RUNS_KEPT)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _join(self, chunks: list[str]) -> bytes:
-        if max(map(len, chunks), default=0) <= LONG_CHUNK:
-            return b"".join(map(self.memo.__getitem__, chunks))
-        return b"".join([self.memo[c] if len(c) <= LONG_CHUNK else self._encode([c])[0] for c in chunks])
+    def _known(self, memo: Memo, parts: list[list[str]]) -> Iterator[bytes]:
+        """Ids of each list of runs."""
+        found = [list(map(memo.get, some)) for some in parts]
+        open_ = [k for k, ids in enumerate(found) if None in ids]
+        new = {run for k in open_ for run, ids in zip(parts[k], found[k]) if ids is None}
+        long = [run for run in new if len(run) > LONG_RUN]
+        values = dict(zip(long, memo.compute(long))) if long else {}
+        memo.learn(new.difference(long))
+        for k in open_:
+            found[k] = [(values.get(run) or memo[run]) if ids is None else ids for run, ids in zip(parts[k], found[k])]
+        return map(b"".join, found)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        plain = [not any(s in t for s in self.special) and len(t) <= LONG_TEXT for t in texts]
-        split = [CHUNK.findall(t) if p else [] for t, p in zip(texts, plain)]
-        self.memo.learn({c for chunks in split for c in chunks if len(c) <= LONG_CHUNK})
-        parts = [self._join(chunks) for chunks in split]
-        for text, p, part in zip(texts, plain, parts):
-            if p:
-                yield part
-            elif any(s in text for s in self.special):  # the library's own rules for such strings
-                yield self._encode([text])[0]
+        first, rest = [], []
+        for text in texts:
+            if len(text) > LONG_TEXT or any(s in text for s in self.special):
+                runs, words = [], []
+            elif PARTED.search(text):  # other white space after a space
+                runs, words = RUN.findall(text), []
             else:
+                words = text.split(" ")
+                runs = [words.pop(0)]
+            first.append(runs)
+            rest.append(words)
+        for text, runs, words in zip(texts, self._known(self.runs, first), self._known(self.words, rest)):
+            if len(text) > LONG_TEXT or any(s in text for s in self.special):
                 yield b"".join(self._pieces(text))
+            else:
+                yield runs + words
 
     def _pieces(self, text: str) -> Iterator[bytes]:
-        """Ids of a very long text, some runs at a time."""
-        found = (m[0] for m in CHUNK.finditer(text))
-        while chunks := list(islice(found, 1 << 16)):
-            self.memo.learn({c for c in chunks if len(c) <= LONG_CHUNK})
-            yield self._join(chunks)
+        """Ids of a very long text, some runs at a time; the library's own rules hold for special strings."""
+        if any(s in text for s in self.special):
+            yield self._encode([text])[0]
+            return
+        found = (m[0] for m in RUN.finditer(text))
+        while runs := list(islice(found, 1 << 16)):
+            yield from self._known(self.runs, [runs])
 
     def column(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text of a column, with the end id; null is empty."""
@@ -105,6 +123,12 @@ class Encoder:
                 yield ids + end
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str = VOCABULARY) -> Encoder:
+    """One per worker process, for all its tasks."""
+    return Encoder(path)
+
+
 class Stream:
     """An ``.ids`` file being written."""
 
@@ -113,7 +137,7 @@ class Stream:
         self.file = file
         kind = pa.uint16() if type_.itemsize == 2 else pa.uint32()
         self.schema = pa.schema([pa.field("ids", pa.list_(pa.field("item", kind, False), length), False),
-                                 pa.field("mask", pa.list_(pa.field("item", pa.uint8(), False), length), False)])
+                                 pa.field("mask", pa.list_(pa.field("item", pa.bool_(), False), length), False)])
         self.writer = ipc.new_stream(file, self.schema)
         self.held, self.count, self.total, self.batches = [], 0, 0, 0
         self.head = self.stride = 0
@@ -134,8 +158,8 @@ class Stream:
 
     def _write(self, ids: np.ndarray) -> None:
         rows = -(-len(ids) // self.length)
-        full, mask = np.zeros(rows * self.length, self.type), np.zeros(rows * self.length, np.uint8)
-        full[: len(ids)], mask[: len(ids)] = ids, 1
+        full, mask = np.zeros(rows * self.length, self.type), np.zeros(rows * self.length, bool)
+        full[: len(ids)], mask[: len(ids)] = ids, True
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((full, mask), self.schema)]
         before = self.file.tell()
         self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
@@ -179,11 +203,11 @@ class Shard:
         size = self.row["stride"] if rows == self.row["batch"] else self.file.size() - start
         return ipc.read_record_batch(ipc.read_message(self._buffer(start, size)), self.schema)
 
-    def __getitem__(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of one sequence."""
+    def __getitem__(self, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of one sequence, in place; the mask has a bit per id."""
         batch, at = self.batch(number // self.row["batch"]), number % self.row["batch"]
-        ids, mask = (batch.column(k).slice(at, 1).flatten().to_numpy() for k in range(2))
-        return ids, mask.view(bool)
+        ids, mask = (batch.column(k).slice(at, 1).flatten() for k in range(2))
+        return ids.to_numpy(), mask
 
     def ids(self, start: int, count: int) -> np.ndarray:
         """Ids at places of the shard's stream, over the borders of sequences and batches."""
@@ -229,20 +253,20 @@ class TokenWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         partition = TaskContext.get().partitionId()
         system, path = place(self.folder)
-        name, encoder = f"shard-{partition:06d}-{uuid.uuid4().hex}", Encoder(self.path)
+        name, ids_of = f"shard-{partition:06d}-{uuid.uuid4().hex}", encoder(self.path)
         batch = next((b for b in iterator if len(b)), None)
         if batch is None:
             return Written(partition, None)
         system.create_dir(path, recursive=True)
         with system.open_output_stream(f"{path}/{name}.ids") as file, system.open_output_stream(f"{path}/{name}.docs") as index:
-            stream = Stream(file, self.length, self.batch, encoder.type)
+            stream = Stream(file, self.length, self.batch, ids_of.type)
             with ipc.new_stream(index, DOC_FIELDS) as docs:
                 total = count = 0
                 while batch is not None:
                     sizes = []
-                    for ids in encoder.column(batch.column("text")):
+                    for ids in ids_of.column(batch.column("text")):
                         stream.add(ids)
-                        sizes.append(len(ids) // encoder.type.itemsize)
+                        sizes.append(len(ids) // ids_of.type.itemsize)
                     starts = total + np.cumsum([0, *sizes[:-1]])
                     docs.write_batch(pa.RecordBatch.from_arrays(
                         [batch.column("doc_id").cast(pa.int64()), pa.array(starts), pa.array(sizes, pa.int64())], schema=DOC_FIELDS))
@@ -250,7 +274,7 @@ class TokenWriter(DataSourceArrowWriter):
                     batch = next((b for b in iterator if len(b)), None)
             stream.close()
         return Written(partition, {"name": name, "docs": count, "ids": total, "length": self.length, "batch": self.batch,
-                                   "head": stream.head, "stride": stream.stride, "width": encoder.type.itemsize})
+                                   "head": stream.head, "stride": stream.stride, "width": ids_of.type.itemsize})
 
     def commit(self, messages: list) -> None:
         system, path = place(self.folder)
