@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from threadloom.llm.common import lean
 from threadloom.llm.wordpieces import VOCABULARY, Pieces
 
 WINDOW = 4096
@@ -130,6 +131,7 @@ def packed(docs: DataFrame, window: int = WINDOW, path: str = VOCABULARY) -> Dat
     Null or empty text: the end id alone. A null doc_id stays null. Repeated rows are packed each.
     ``sequence_id`` holds the task in its upper bits and counts within it.
     """
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, task = Pieces(path), TaskContext.get().partitionId()
         number = group = 0

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import lean
+
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -304,6 +306,7 @@ class Pseudonyms:
 def pseudonymised(text: Column, key: bytes) -> Column:
     """Struct of the new ``text`` and of what was ``found`` in the old one."""
     @F.arrow_udf("struct<text: string, found: array<struct<kind: string, start: int, end: int>>>")
+    @lean
     def replace_values(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = Pseudonyms(key)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

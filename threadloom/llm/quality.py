@@ -16,11 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import BLANK
+from threadloom.llm.common import BLANK, fresh
 
-# The first rows of at most this length are read to order the rules. Only the order depends on them.
+# The first rows are judged by all rules to order them. Only the order depends on them.
 SAMPLE_ROWS = 1_000
-SAMPLE_CHARS = 50_000
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -130,15 +129,14 @@ def standard_rules(text: Column, measures: dict[str, Column]) -> list[Rule]:
     ]
 
 
-def cascade_order(sample: DataFrame, rules: list[Rule]) -> list[str]:
+def cascade_order(measured_rows: DataFrame, rules: list[Rule], sample: int = SAMPLE_ROWS) -> list[str]:
     """Greedy order: next comes the rule with most rejections per cost among the rows still standing.
 
-    The sample is summed up to one row per combination of verdicts, at most 2 ** len(rules).
+    Of the first ``sample`` rows only the verdicts and costs come to the driver.
     """
     flags = [F.coalesce(r.reject, F.lit(False)).alias(f"r{k}") for k, r in enumerate(rules)]
     costs = [F.coalesce(r.cost, F.lit(0.0)).alias(f"c{k}") for k, r in enumerate(rules)]
-    groups = sample.select(*flags, *costs).groupBy(*[f"r{k}" for k in range(len(rules))]).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(rules))]).collect()
+    groups = [row.asDict() | {"n": 1} for row in measured_rows.select(*flags, *costs).take(sample)]
     left, order = list(range(len(rules))), []
     while left:
         def gain(k: int) -> float:
@@ -164,57 +162,69 @@ def first_rejection(rules: list[Rule], order: list[str]) -> Column:
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the base measures in a struct column ``__q_base``.
+def held(docs: DataFrame, value: Column, name: str) -> DataFrame:
+    """``docs`` with ``value`` as a column that is computed once: the explode of one value keeps the optimiser
+    from writing it into each expression above."""
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(value)).alias(name))
 
-    Each step is a column of its own, so that what several later ones read is computed once. The
-    explode of one struct keeps the optimiser from writing the steps into a filter above.
-    """
-    column = F.col(text)
-    base = F.struct(
-        F.size("__q_words").cast("long").alias("n_words"),
-        F.length(F.array_join("__q_words", "")).cast("long").alias("word_chars"),
-        symbol_count(column).alias("n_symbols"),
-        duplicate_lines(column).alias("n_dup_lines"),
-        covered(F.col("__q_starts")).alias("n_repeat_words"),
-    )
+
+def cheap_measures(docs: DataFrame, name: str, text: Column) -> DataFrame:
+    """``docs`` with a struct of the words and all base measures but the repeats."""
+    w = fresh(docs, f"{name}_words")
+    rows = docs.withColumn(w, words(text))
+    return held(rows, F.struct(
+        F.col(w).alias("words"), F.size(w).cast("long").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        symbol_count(text).alias("n_symbols"), duplicate_lines(text).alias("n_dup_lines")), name).drop(w)
+
+
+def with_repeats(docs: DataFrame, name: str, split: Column) -> DataFrame:
+    """``docs`` with the number of words in repeated windows of ``split``. Each step is a column of its own,
+    so that what several later ones read is computed once."""
+    h, win, mask, keys, near, starts = (fresh(docs, f"{name}_{part}") for part in ("h", "win", "mask", "keys", "near", "starts"))
     steps = (
-        docs.withColumn("__q_words", words(column))
-        .withColumn("__q_hashes", F.transform("__q_words", lambda w: F.xxhash64(w)))
-        .withColumn("__q_windows", window_hashes(F.col("__q_hashes")))
-        .withColumn("__q_mask", position_bits(F.col("__q_windows")))
-        .withColumn("__q_keys", sorted_keys(F.col("__q_windows"), F.col("__q_mask")))
-        .withColumn("__q_near", twins(F.col("__q_keys"), F.col("__q_mask")))
-        .withColumn("__q_starts", repeated_starts(F.col("__q_windows"), F.col("__q_mask"), F.col("__q_near")))
+        docs.withColumn(h, F.transform(split, lambda w: F.xxhash64(w)))
+        .withColumn(win, window_hashes(F.col(h)))
+        .withColumn(mask, position_bits(F.col(win)))
+        .withColumn(keys, sorted_keys(F.col(win), F.col(mask)))
+        .withColumn(near, twins(F.col(keys), F.col(mask)))
+        .withColumn(starts, repeated_starts(F.col(win), F.col(mask), F.col(near)))
     )
-    return steps.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(base)).alias("__q_base"))
+    return held(steps, covered(F.col(starts)), name).drop(h, win, mask, keys, near, starts)
 
 
-def judged(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``__q_base`` and ``__q_rejected_by``: null where the document is kept.
+def rules_of(docs: DataFrame, name: str, order: list[str] | None) -> tuple[DataFrame, Column]:
+    """``docs`` with the cheap measures as struct ``name``, and the name of the first rule that rejects.
 
-    ``order`` fixes the order of the rules; without it, it is estimated on the first SAMPLE_ROWS rows,
-    which come through the driver so that their texts are not shuffled.
+    ``order`` fixes the order of the rules; without it, it is estimated on the first SAMPLE_ROWS rows.
     """
-    rules = standard_rules(F.col("text"), {name: F.col(f"__q_base.{name}") for name in BASE})
-    if order is None:
-        rows = docs.select("text").filter(F.length("text") <= SAMPLE_CHARS).take(SAMPLE_ROWS)
-        sample = docs.sparkSession.createDataFrame(rows, "text string").repartition(8)  # measured by tasks, not in planning
-        order = cascade_order(measured(sample), rules)
-    n, repeated = F.col("__q_base.n_words"), F.col("__q_base.n_repeat_words")
-    failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEATED_PERCENT * n)
-    return measured(docs).withColumn(
-        "__q_rejected_by", F.when(failed, "base").otherwise(first_rejection(rules, order)))
+    measured = cheap_measures(docs, name, F.col("text"))
+    rules = standard_rules(F.col("text"), {m: F.col(f"{name}.{m}") for m in BASE[:-1]})
+    return measured, first_rejection(rules, order or cascade_order(measured, rules))
 
 
 def quality(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """doc_id, the base measures, base_failed, kept and rejected_by, for every document."""
-    return judged(docs.select("doc_id", "text"), order).select(
-        "doc_id", *[f"__q_base.{name}" for name in BASE],
-        (F.coalesce(F.col("__q_rejected_by"), F.lit("")) == "base").alias("base_failed"),
-        F.col("__q_rejected_by").isNull().alias("kept"), F.col("__q_rejected_by").alias("rejected_by"))
+    measured, rejected = rules_of(docs.select("doc_id", "text"), "q", order)
+    rows = with_repeats(measured, "n_repeat_words", F.col("q.words"))
+    n, repeated = F.col("q.n_words"), F.col("n_repeat_words")
+    failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEATED_PERCENT * n)
+    rows = rows.withColumn("by", F.when(failed, "base").otherwise(rejected))
+    return rows.select(
+        "doc_id", *[f"q.{m}" for m in BASE[:-1]], "n_repeat_words",
+        (F.coalesce(F.col("by"), F.lit("")) == "base").alias("base_failed"),
+        F.col("by").isNull().alias("kept"), F.col("by").alias("rejected_by"))
 
 
 def keep_good(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """The documents that no rule rejects, with the columns they came with."""
-    return judged(docs, order).filter(F.col("__q_rejected_by").isNull()).drop("__q_base", "__q_rejected_by")
+    """The documents that no rule rejects, with the columns they came with.
+
+    The repeats cost most, several times all other measures together, so they are looked for last, in what the other
+    rules have left standing.
+    """
+    names, q, repeats = docs.columns, fresh(docs, "quality"), fresh(docs, "repeats")
+    measured, rejected = rules_of(docs, q, order)
+    standing = measured.filter((F.col(f"{q}.n_words") >= MIN_WORDS) & rejected.isNull())
+    rows = with_repeats(standing, repeats, F.col(f"{q}.words"))
+    return rows.filter(100 * F.col(repeats) <= MAX_REPEATED_PERCENT * F.col(f"{q}.n_words")).select(
+        *[F.col(f"`{c}`") for c in names])

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import byte_lengths, slices, utf8
+from threadloom.llm.common import byte_lengths, fresh, lean, slices, utf8
 from threadloom.llm.components import components
 from threadloom.session import cut_lineage
 
@@ -77,6 +77,7 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 def fingerprints(text: Column, size: int = SHINGLE) -> Column:
     """Fingerprint as a signed 64-bit number; a null text has no words."""
     @F.arrow_udf("long")
+    @lean
     def text_fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array((fingerprint(text, size) for text in utf8(batch)), pa.int64())
@@ -111,6 +112,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 def set_ids(text: Column, size: int) -> Column:
     @F.arrow_udf("long")
+    @lean
     def text_sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array((set_id(shingle_set(text, size)) for text in utf8(batch)), pa.int64())
@@ -121,6 +123,7 @@ def set_ids(text: Column, size: int) -> Column:
 def sets(text: Column, size: int) -> Column:
     """The sorted hashes of the set of shingles, 8 bytes each."""
     @F.arrow_udf("binary")
+    @lean
     def text_hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array((shingle_set(text, size).tobytes() for text in utf8(batch)), pa.binary())
@@ -131,6 +134,7 @@ def sets(text: Column, size: int) -> Column:
 def signatures(text: Column, size: int) -> Column:
     """Of the set of shingles: its number ``fp``, fingerprint ``print``, size ``n`` and ``bands``."""
     @F.arrow_udf("struct<fp: long, print: long, n: long, bands: array<long>>")
+    @lean
     def text_signatures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             hashes = [shingle_set(text, size) for text in utf8(batch)]
@@ -320,7 +324,7 @@ def links_of_keys(keys: DataFrame, radius: int, shard_nodes: int) -> DataFrame:
                 .otherwise(QUERY).alias("role"), *[c for c in keys.columns if c == "print"])
     )
     return (cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(lambda batches: link_cells(batches, radius), "a long, b long"))
+            .mapInArrow(lean(lambda batches: link_cells(batches, radius)), "a long, b long"))
 
 
 def near_links(nodes: DataFrame, radius: int = RADIUS, shard_nodes: int = SHARD_NODES) -> DataFrame:
@@ -353,7 +357,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, size: int, radius: int, sim
              .withColumn("other", F.explode(others))
              .select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "hashes"))
     return (cells.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-            .mapInArrow(lambda batches: compare_cells(batches, similarity), "a long, b long"))
+            .mapInArrow(lean(lambda batches: compare_cells(batches, similarity)), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE,
@@ -397,11 +401,12 @@ def first_of_group(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE,
     plain = docs.join(single, "doc_id", "left_semi")
     if repeated.isEmpty():
         return plain.select(*[F.col(f"`{c}`") for c in names])
+    root, number, name = (fresh(docs, f"group_{part}") for part in ("root", "number", "name"))
     roots = kept.join(repeated, kept.doc_id.eqNullSafe(repeated.doc_id), "left_semi").groupBy("fp").agg(
-        F.first("root").alias("__s_root")).withColumnRenamed("fp", "__s_fp")
+        F.first("root").alias(root)).withColumnRenamed("fp", number)
     rest = docs.join(repeated, docs.doc_id.eqNullSafe(repeated.doc_id), "left_semi").withColumn(
-        "__s_fp", (fingerprints if similarity is None else set_ids)(F.col("text"), size)).join(roots, "__s_fp")
-    marked = rest.join(kept.select(F.col("doc_id").alias("__s_id"), F.col("fp").alias("__s_fp")).distinct(),
-                       "__s_fp").filter(F.col("doc_id").eqNullSafe(F.col("__s_id"))).drop("__s_id")
-    one = marked.dropDuplicates(["__s_root"])
+        number, (fingerprints if similarity is None else set_ids)(F.col("text"), size)).join(roots, number)
+    marked = rest.join(kept.select(F.col("doc_id").alias(name), F.col("fp").alias(number)).distinct(),
+                       number).filter(F.col("doc_id").eqNullSafe(F.col(name))).drop(name)
+    one = marked.dropDuplicates([root])
     return plain.select(*[F.col(f"`{c}`") for c in names]).unionByName(one.select(*[F.col(f"`{c}`") for c in names]))

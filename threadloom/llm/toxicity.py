@@ -22,13 +22,15 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import Memo, byte_lengths, held_out, slices
+from threadloom.llm.common import Memo, byte_lengths, fresh, held_out, lean, slices
+from threadloom.session import cut_lineage
 
 FOLDS = 5
 # Bounds of the training sample: rows of each class, and characters of a row that is taken.
@@ -301,12 +303,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
 
     The sample is bounded by these parameters and goes to the driver; scoring covers all rows.
     """
-    fold = labels.filter(~held_out(F.col("doc_id"), FOLDS) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
-    chosen = None
-    for value in (0, 1):
-        part = fold.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    fold = labels.filter(~held_out(F.col("doc_id"), FOLDS) & F.col("doc_id").isNotNull()).filter(
+        F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # only rows that can be learnt from take up places
+    there = docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id").distinct().join(fold, "doc_id")
+    there = cut_lineage(there)
+    chosen = reduce(DataFrame.unionByName, [
+        there.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS)
+        for value in (0, 1)])
     rows = (docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS)
             .join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
             .toArrow().to_pylist())
@@ -330,6 +334,7 @@ def spans(text: str, marginals: np.ndarray) -> list[dict]:
 def toxicity(text: Column, model: Field) -> Column:
     """Struct of ``score`` and ``spans``. ``model`` is as large as its training sample allows."""
     @F.arrow_udf("struct<score: double, spans: array<struct<start: int, end: int, probability: double>>>")
+    @lean
     def score_toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = Memo(model.emissions)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
@@ -353,3 +358,10 @@ def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return (docs.select("doc_id", toxicity(F.col("text"), model).alias("t"))
             .select("doc_id", held_out(F.col("doc_id"), FOLDS).alias("held_out"), F.col("t.score").alias("score"),
                     (F.col("t.score") >= 0.5).cast("int").alias("predicted"), F.col("t.spans").alias("spans")))
+
+
+def without_toxic(docs: DataFrame, model: Field) -> DataFrame:
+    """Documents scored under one half, with the columns they came with."""
+    score = fresh(docs, "toxic_score")
+    kept = docs.withColumn(score, toxicity(F.col("text"), model)["score"]).filter(F.col(score) < 0.5)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

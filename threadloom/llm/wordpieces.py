@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.bpe import PairTable, merge_all
-from threadloom.llm.common import Memo, byte_lengths, slices
+from threadloom.llm.common import Memo, byte_lengths, lean, slices
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 WORD_END = "</w>"
@@ -153,6 +153,7 @@ class Pieces:
 def token_count(text: Column, path: str = VOCABULARY) -> Column:
     """Tokens of each text as the library counts them; 0 for a null or empty text."""
     @F.arrow_udf("long")
+    @lean
     def count_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = Pieces(path, pack=False)
         for batch in batches:
