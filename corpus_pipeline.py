@@ -14,7 +14,7 @@ from threadloom.llm.packing import packed
 from threadloom.llm.pseudonyms import pseudonymised
 from threadloom.llm.quality import keep_good
 from threadloom.llm.simhash import SIMILAR_RADIUS, first_of_group
-from threadloom.llm.toxicity import toxicity, train
+from threadloom.llm.toxicity import train, without_toxic
 from threadloom.session import prepare, stored
 from threadloom.tables import table
 
@@ -27,28 +27,31 @@ SHINGLE, SIMILARITY = 5, 0.8
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
+    prepare(spark)
     return keep_good(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under one half, by a model of the labelled ones among them."""
-    model = train(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("__p_toxic", toxicity(F.col("text"), model)["score"]).filter(
-        F.col("__p_toxic") < 0.5).drop("__p_toxic")
+    prepare(spark)
+    return without_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least doc_id."""
+    prepare(spark)
     return first_of_group(docs, SIMILAR_RADIUS, SHINGLE, SIMILARITY)
 
 
 def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values replaced in the texts; lengths stay as they are."""
+    prepare(spark)
     return docs.withColumn("text", pseudonymised(F.col("text"), PSEUDONYM_KEY)["text"])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document in a sequence."""
+    prepare(spark)
     return packed(docs)
 
 
