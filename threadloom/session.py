@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 # Broadcasts made by this library are allowed up to this many bytes of data.
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 
+# Batches that go to Python workers: a task holds a few of them, there and in the executor.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 * 1024 * 1024
+
 
 def build_session(app: str = "threadloom", cores: str = "*", **conf: str) -> SparkSession:
     """Local session for tests and the bench; a cluster brings its own."""
@@ -35,8 +38,11 @@ def build_session(app: str = "threadloom", cores: str = "*", **conf: str) -> Spa
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the settings results depend on. Naive dates mean UTC everywhere."""
+    """Pin the settings results depend on, and the size of the batches that Python workers hold. Naive dates
+    mean UTC everywhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     ship_package(spark)
     return spark
 
