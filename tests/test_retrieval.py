@@ -4,12 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import bm25, dense, graph, rerank
+from threadloom.operators import bm25, cells, dense, graph, rerank
 from threadloom.plans import fixtures, retrieval
 from threadloom.plans.grouping import chat_rows
 from threadloom.operators import grouping
 from threadloom.streaming import streams
 from threadloom.plans.changes import as_log, stm_anchor_groups
+from threadloom.session import scratch_path
 from threadloom.tables import table
 
 SF = "/root/testdata/sf0.001"
@@ -58,9 +59,10 @@ def test_okapi_variant(spark):
 def test_ann_finds_most(spark):
     q, v = fixtures.query_vectors(spark, SF), fixtures.vectors(spark, SF)
     exact = set(rows(dense.dense_topk(q, v, 10, threshold=None), "query_id", "doc_id"))
-    near = set(rows(dense.ann_topk(q, v, 10, cells=10, probes=10, threshold=None), "query_id", "doc_id"))
-    assert near == exact
-    assert dense.ann_topk(q, v, 10, cells=10, probes=3).count() > 0
+    path = scratch_path(spark, "test-cells")
+    cells.build(v, path, cells=10)
+    assert set(rows(cells.search(spark, path, q, 10, probes=10, threshold=None), "query_id", "doc_id")) == exact
+    assert cells.search(spark, path, q, 10, probes=3).count() > 0
 
 
 def test_mmr_and_greedy_duplicates(spark):

@@ -182,36 +182,3 @@ def cosine(a: Column, b: Column) -> Column:
         lambda acc, x: acc + x)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
-
-
-def ann_topk(queries: DataFrame, chunks: DataFrame, k: int = 50, cells: int | None = None,
-             probes: int | None = None, threshold: float | None = 0.3, seed: int = 42) -> DataFrame:
-    """Approximate top-k: cluster the chunks, search the cells nearest to each query.
-
-    The cell centres are learnt on all chunks, as many cells as the root of their number
-    unless given, of which a twelfth is searched; every chunk is kept and searched in its
-    cell, with the exact kernel restricted to equal cells.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    chunks = chunks.filter("vec IS NOT NULL")
-    total = chunks.count()
-    cells = max(1, min(cells or round(total ** 0.5), total))
-    probes = min(cells, probes or max(8, cells // 12))
-    points = chunks.select("doc_id", "vec", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=5).fit(points)
-    centres = model.clusterCenters()
-    placed = model.transform(points).select("doc_id", "vec", F.col("prediction").alias("cell"))
-    spark = chunks.sparkSession
-    centre_rows = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(centres)], "doc_id int, vec array<double>")
-    near = dense_topk(queries, centre_rows, k=probes, threshold=None).select(
-        "query_id", F.col("doc_id").alias("cell"))
-    probing = queries.select("query_id", "query_vec").join(near, "query_id")
-    # A query probes several cells; each probe is a query of its own inside its cell.
-    probe_id = F.concat_ws("#", F.col("query_id").cast("string"), F.col("cell").cast("string"))
-    found = dense_topk(probing.select(probe_id.alias("query_id"), "query_vec", "cell"), placed,
-                       k=k, threshold=threshold, within="cell")
-    back = F.substring_index("query_id", "#", 1).cast(queries.schema["query_id"].dataType)
-    return top_k(found.drop("rank").withColumn("query_id", back), k)

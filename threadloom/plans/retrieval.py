@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from threadloom import fixed_values as fv
 from threadloom.functions import dates
 from threadloom.functions.quality import has_code
-from threadloom.operators import bm25, dense, fusion, graph, keyword_index, ranking, rerank, tfidf
+from threadloom.operators import bm25, cells, dense, fusion, graph, keyword_index, ranking, rerank, tfidf
 from threadloom.plans import duck, fixtures
 from threadloom.plans.fixtures import SQL_DENSE
 from threadloom.plans.registry import query
@@ -56,7 +56,9 @@ def ret_dense_arrow(spark, sf):
 
 @query("ret_dense_ann")
 def ret_dense_ann(spark, sf):
-    return dense.ann_topk(fixtures.query_vectors(spark, sf), fixtures.vectors(spark, sf), 50)
+    path = scratch_path(spark, "cells")
+    cells.build(fixtures.vectors(spark, sf), path)
+    return cells.search(spark, path, fixtures.query_vectors(spark, sf), 50)
 
 
 @query("candidate_join", f"""WITH {SQL_DENSE},

@@ -8,7 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from threadloom import fixed_values as fv
 from threadloom.session import scratch_path
@@ -87,43 +87,92 @@ def conversation_sessions(rows: DataFrame, key: str, gap: str = "30 minutes",
 
 
 GROUP_SCHEMA = "channel_id string, id string, user_name string, ts string, message_count long, text string"
-_OPEN = "waiting array<struct<t:double, id:string, ts:string, user:string, msg:string>>, open array<struct<t:double, id:string, ts:string, user:string, msg:string>>"
+_MESSAGES = "messages array<struct<t:double, id:string, ts:string, user:string, msg:string>>"
+SLOT_SECONDS = 60
+
+
+class AnchorGroups(StatefulProcessor):
+    """Messages of a channel wait by time slot, in map state, until the watermark has passed their slot; an event-time
+    timer then folds that slot alone, in order, into the open group. Of the open group only its anchor is rewritten;
+    its texts are appended to list state. So no step touches all that a channel has waiting.
+
+    The timer at the end of the slot in which a group's window ends closes the group, if nothing else has.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.slots = handle.getMapState("slots", "slot long", _MESSAGES)
+        self.anchor = handle.getValueState("anchor", "t double, id string, user string, last_ts string, count long")
+        self.texts = handle.getListState("texts", "msg string")
+
+    def _wake(self, slot: int) -> None:
+        """Timer at the end of a slot; the same one is kept once."""
+        self.handle.registerTimer((slot + 1) * SLOT_SECONDS * 1000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        new: dict[int, list[tuple]] = {}
+        for pdf in rows:
+            for m in zip(pdf["t"], pdf["id"], pdf["ts"], pdf["user"], pdf["msg"]):
+                new.setdefault(int(m[0] // SLOT_SECONDS), []).append(m)
+        for slot, messages in new.items():
+            held = [tuple(m) for m in self.slots.getValue((slot,))[0]] if self.slots.containsKey((slot,)) else []
+            self.slots.updateValue((slot,), (held + messages,))
+            self._wake(slot)
+        yield pd.DataFrame(columns=[c.split()[0] for c in GROUP_SCHEMA.split(", ")])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        slot, closed = end // SLOT_SECONDS - 1, []
+        anchor = self.anchor.get() if self.anchor.exists() else None
+        fresh: list[tuple] = []  # texts of the open group that are not in state yet
+        kept = anchor
+
+        def close() -> None:
+            texts = [m[0] for m in self.texts.get()] if self.texts.exists() else []
+            closed.append((key[0], anchor[1], anchor[2], anchor[3], anchor[4], " ".join(texts + [m[0] for m in fresh])))
+            self.texts.clear()
+            fresh.clear()
+
+        if self.slots.containsKey((slot,)):
+            for m in sorted(tuple(m) for m in self.slots.getValue((slot,))[0]):
+                if anchor and anchor[2] == m[3] and 0 < m[0] - anchor[0] <= fv.ANCHOR_WINDOW_SECONDS:
+                    anchor = (*anchor[:3], m[2], anchor[4] + 1)
+                else:
+                    if anchor:
+                        close()
+                    anchor = (m[0], m[1], m[3], m[2], 1)
+                fresh.append((m[4],))
+            self.slots.removeKey((slot,))
+        if anchor:
+            last = int((anchor[0] + fv.ANCHOR_WINDOW_SECONDS) // SLOT_SECONDS)
+            # over by now, or by the watermark if no slot until then has anything for it
+            if last <= slot or ((last + 1) * SLOT_SECONDS * 1000 <= timerValues.getCurrentWatermarkInMs()
+                                and not any(self.slots.containsKey((s,)) for s in range(slot + 1, last + 1))):
+                close()
+                anchor = None
+        if anchor != kept:
+            if anchor:
+                self.anchor.update(anchor)
+                if fresh:
+                    self.texts.appendList(fresh)
+                self._wake(last)
+            else:
+                self.anchor.clear()
+        yield pd.DataFrame(closed, columns=[c.split()[0] for c in GROUP_SCHEMA.split(", ")])
+
+    def close(self) -> None:
+        pass
 
 
 def anchor_groups(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Streaming form of the first grouping pass: ``channel_id, event_time, t, id, ts, user, msg``.
+    """Streaming form of the first grouping pass, over ``channel_id, event_time, t, id, ts, user, msg``.
 
     Messages wait until the watermark has passed them, then they are folded in order. An
-    open group is given out as soon as no later message can join it.
+    open group is given out as soon as no later message can join it. The state lies in RocksDB, which this
+    kind of state needs.
     """
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, open_group = ([list(map(tuple, part)) for part in state.get] if state.exists else ([], []))
-        for pdf in frames:
-            waiting.extend(zip(pdf["t"], pdf["id"], pdf["ts"], pdf["user"], pdf["msg"]))
-        now = state.getCurrentWatermarkMs() / 1000.0
-        ready = sorted(m for m in waiting if m[0] <= now)
-        waiting = [m for m in waiting if m[0] > now]
-        closed = []
-        for m in ready:
-            joins = (open_group and open_group[0][3] == m[3]
-                     and 0 < m[0] - open_group[0][0] <= fv.ANCHOR_WINDOW_SECONDS)
-            if open_group and not joins:
-                closed.append(open_group)
-                open_group = []
-            open_group.append(m)
-        if open_group and open_group[0][0] + fv.ANCHOR_WINDOW_SECONDS < now:
-            closed.append(open_group)
-            open_group = []
-        if waiting or open_group:
-            state.update((waiting, open_group))
-            first = min([m[0] for m in waiting] + ([open_group[0][0] + fv.ANCHOR_WINDOW_SECONDS] if open_group else []))
-            state.setTimeoutTimestamp(int(max(first, now) * 1000) + 1000)
-        else:
-            state.remove()
-        yield pd.DataFrame(
-            [(key[0], g[0][1], g[0][3], g[-1][2], len(g), " ".join(m[4] for m in g)) for g in closed],
-            columns=["channel_id", "id", "user_name", "ts", "message_count", "text"])
-
-    return (
-        stream.filter("msg <> ''").withWatermark("event_time", delay).groupBy("channel_id")
-        .applyInPandasWithState(fold, GROUP_SCHEMA, _OPEN, "append", GroupStateTimeout.EventTimeTimeout))
+    stream.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return (stream.filter("msg <> ''").withWatermark("event_time", delay).groupBy("channel_id")
+            .transformWithStateInPandas(AnchorGroups(), GROUP_SCHEMA, "Append", "eventTime"))
