@@ -641,6 +641,16 @@ def test_vectors_of_odd_kinds(spark):
     assert hash_forest.nearest(df.limit(0), df).count() == 0
 
 
+def test_repeated_queries_and_ids(spark):
+    rows = [(50, [1.0, 0.0])] * 2 + [(50, [0.0, 1.0]), (1, [1.0, 0.2]), (2, [1.0, 0.3]), (3, [1.0, 0.4]), (4, [0.1, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>").withColumns(
+        {name: F.lit(1) for name in ("shard", "block", "dims", "asked", "rank", "score", "query_id")})
+    got = hash_forest.nearest(df, df.filter("vec_id = 50"), k=5).collect()
+    assert sorted((r.rank, r.vec_id, round(r.score, 3)) for r in got) == sorted(
+        [(1, 1, 0.981), (2, 2, 0.958), (3, 3, 0.928), (4, 4, 0.1), (5, 50, 0.0),  # of [1, 0]: its copy is itself
+         (1, 4, 0.995), (2, 3, 0.371), (3, 2, 0.287), (4, 1, 0.196), (5, 50, 0.0)])  # of [0, 1]: one of the two others is fifth
+
+
 def test_forest_takes_longest_prefixes_first():
     rng = np.random.default_rng(5)
     data, asked = rng.normal(size=(300, 8)), rng.normal(size=(5, 8))

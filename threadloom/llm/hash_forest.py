@@ -11,7 +11,9 @@ and shard only the nearest k found go on.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part;
 vectors of different lengths are never compared; ties go to the smaller vec_id; a query alone in its
-shard set gives no rows; repeated vec_ids are rows of their own, of which none is a neighbour of the same id.
+shard set gives no rows. Repeated vec_ids are rows of their own: one with another vector is a neighbour like any
+other, while all equal rows count as the query's own. Queries of one id and vector are searched once; of one id and
+several vectors, each has its own k neighbours.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ BLOCK_QUERIES = 4096
 PAIRS = 1 << 22
 SEED = 11
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_id long, asked long, vec_id long, score double"
 
 
 def directions(dims: int, trees: int, bits: int) -> np.ndarray:
@@ -91,10 +93,11 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def search(rows: pa.Table, queries: pa.Table, k: int, trees: int, bits: int, share: float) -> pa.Table:
     """The nearest k found in one shard for one block of queries."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     if len(rows) and len(queries):
         data, asked = matrix(rows.column("vector")), matrix(queries.column("vector"))
         ids, names = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
+        numbers = queries.column("asked").to_numpy()
         forest = HashForest(data, trees, bits)
         norms = np.sqrt((data * data).sum(1))
         keys = hashes(asked, trees, bits)
@@ -107,16 +110,16 @@ def search(rows: pa.Table, queries: pa.Table, k: int, trees: int, bits: int, sha
             ends = np.searchsorted(query, np.arange(len(asked[at : at + step]) + 1))
             for j in range(len(ends) - 1):
                 near = row[ends[j] : ends[j + 1]]
-                near = near[ids[near] != names[at + j]]
+                q = asked[at + j]
+                near = near[(ids[near] != names[at + j]) | (data[near] != q).any(1)]
                 if not len(near):
                     continue
-                q = asked[at + j]
                 # row by row in one order, so that equal vectors get equal scores
                 cosine = (data[near] * q).sum(1) / (norms[near] * np.sqrt((q * q).sum()))
                 best = np.lexsort((ids[near], -cosine))[:k]
-                out.append((np.full(len(best), names[at + j]), ids[near][best], cosine[best]))
-    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-    return pa.table([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+                out.append((np.full(len(best), names[at + j]), np.full(len(best), numbers[at + j]), ids[near][best], cosine[best]))
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+    return pa.table([pa.array(c) for c in columns], names=["query_id", "asked", "vec_id", "score"])
 
 
 def usable(vector: Column) -> Column:
@@ -128,21 +131,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = TRE
             share: float = SHARE, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id and score: for each of ``queries(vec_id, vector)`` its k nearest found
     among ``vectors(vec_id, vector)`` other than those with its own id."""
-    def parts(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    def parts(df: DataFrame, size: int, name: str, distinct: bool = False) -> tuple[DataFrame, int]:
         df = df.select(F.col("vec_id").cast("long").alias("vec_id"),
                        F.col("vector").cast("array<double>").alias("vector"))
         df = df.filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+        df = df.dropDuplicates() if distinct else df
         n = max(1, math.ceil(df.count() / size))
-        return df.withColumn(name, F.pmod(F.xxhash64("vec_id", "vector", F.lit(SEED)), F.lit(n))), n
+        # the place of a row in the input deals out repeats of one row as well
+        return df.withColumn(name, F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id(), F.lit(SEED)), F.lit(n))), n
 
     rows, shards = parts(vectors, shard_rows, "shard")
-    asked, blocks = parts(queries, block_queries, "block")
+    asked, blocks = parts(queries, block_queries, "block", distinct=True)
+    asked = asked.withColumn("asked", F.xxhash64("vector"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     rows = rows.withColumn("dims", F.size("vector")).withColumn("block", every(blocks))
     asked = asked.withColumn("dims", F.size("vector")).withColumn("shard", every(shards))
     cell = ["dims", "shard", "block"]
     found = rows.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(
         lambda left, right: search(left, right, k, trees, bits, share), FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
