@@ -244,6 +244,25 @@ def test_memo_that_overflows():
         library.encode(t, add_special_tokens=False).ids for t in some]
 
 
+def test_only_odd_words_go_to_the_library(monkeypatch):
+    """A text with a curly quote goes through the method, word by word."""
+    asked, encode = [], wordpieces.encode
+    library, pieces = Tokenizer.from_file(wordpieces.VOCABULARY), wordpieces.Pieces()
+    monkeypatch.setattr(wordpieces, "encode", lambda some, path: asked.extend(some) or encode(some, path))
+    text = "It\u2019s one curly quote among MANY plain words, \xa0and a no-break space"
+    assert np.frombuffer(pieces.of([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert asked == ["It\u2019s"]
+
+
+def test_words_of_random_characters():
+    rng, library = np.random.default_rng(5), Tokenizer.from_file(wordpieces.VOCABULARY)
+    signs = np.array(list("aAbBé ßẞñ \n\t\x0b\x1c\x1e\x85\xa0中文字한١٢½²Ⅷ_'s're!?.,…—😀\x00\u0301\u0308İΣς\u2003\u3000\u200b") + ["<|endoftext|>", "  "])
+    some = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(3000)]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in some]
+    assert [np.frombuffer(b, "<u4").tolist() for b in wordpieces.Pieces().of(some)] == expected
+    assert wordpieces.Pieces(pack=False).of(some) == list(map(len, expected))
+
+
 def test_packing(spark, odd, nothing):
     library = Tokenizer.from_file(wordpieces.VOCABULARY)
     docs = spark.createDataFrame(list(texts(spark).items()), "doc_id long, text string")

@@ -4,9 +4,10 @@ Offline, every vocabulary string that closes a word is given to the tokenizer by
 come back as that one id are proven whole tokens. A text is split into pre-tokens; a pre-token that
 is a proven whole token counts at once, and only the rest goes through the merges of the library.
 
-Texts of ASCII and accented Latin letters are split here; for them the normaliser only lowers
-letters. A text with any other character, or with a special token's string in it, is given to the
-library whole, so that its own rules hold.
+White space parts words for the vocabulary's rules as well, so each word is looked at by itself. For words of ASCII
+and accented Latin letters the normaliser only lowers letters; a word with any other character is given to the
+library, so that its own rules hold, and so is a whole text with a special token's string or a separator control
+character (which does not part words there) in it.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ WORD_END = "</w>"
 PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 PLAIN = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
 
+CONTROL = re.compile("[\x1c-\x1f]")
+
 # Texts are taken together up to this many bytes, so that words are merged many at a time.
 GROUP_BYTES = 1 << 21
 
@@ -114,6 +117,11 @@ class Pieces:
 
     def _words(self, words: list[str]) -> list:
         """Value of each word: its packed ids, or their number."""
+        odd = [w for w in words if not plain(w)]
+        if odd:
+            other = dict(zip(odd, (np.array(ids, "<u4").tobytes() if self.pack else len(ids) for ids in encode(odd, self.path))))
+            rest = iter(self._words([w for w in words if w not in other]))
+            return [other[w] if w in other else next(rest) for w in words]
         split = [[w] if w in self.whole else PRE_TOKEN.findall(w) for w in words]
         rest = list({p for parts in split for p in parts if p not in self.whole})
         known: dict = {}
@@ -129,10 +137,16 @@ class Pieces:
             return [value(parts[0]) if len(parts) == 1 else b"".join(map(value, parts)) for parts in split]
         return [sum([known.get(p, 1) for p in parts]) for parts in split]
 
+    def _split(self, text: str) -> list[str] | None:
+        """Words of a text, plain ones in lower case; nothing where white space does not say what they are."""
+        if plain(text):
+            return text.lower().split()
+        return None if CONTROL.search(text) else [w.lower() if plain(w) else w for w in text.split()]
+
     def of(self, texts: list[str]) -> list:
         """Per text: its ids as little-endian unsigned 32-bit numbers, or, without ``pack``, their number."""
         special = special_strings(self.path)
-        words = [t.lower().split() if plain(t) and not any(s in t for s in special) else None for t in texts]
+        words = [self._split(t) if not any(s in t for s in special) else None for t in texts]
         self.memo.learn(set().union(*[w for w in words if w is not None]))
         join = b"".join if self.pack else sum
         out = []
