@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from threadloom import fixed_values as fv
 from threadloom.functions import dates
 from threadloom.functions.quality import has_code
-from threadloom.operators import bm25, cells, dense, fusion, graph, keyword_index, ranking, rerank, tfidf
+from threadloom.operators import bm25, cells, dense, fusion, graph, keyword_index, ranking, rerank, segments, tfidf
 from threadloom.plans import duck, fixtures
 from threadloom.plans.fixtures import SQL_DENSE
 from threadloom.plans.registry import query
@@ -86,6 +86,21 @@ def ret_bm25_index(spark, sf):
     return keyword_index.search(spark, path, fixtures.query_texts(spark, sf))
 
 
+@query("ret_bm25_segments", f"WITH {SQL_BM25} SELECT * FROM sparse")
+def ret_bm25_segments(spark, sf):
+    """From an index that changed: first drafts replaced, documents deleted and added again, segments merged."""
+    docs, index = fixtures.corpus(spark, sf), segments.KeywordSegments(spark, scratch_path(spark, "segments"))
+    even, third = F.pmod("doc_id", F.lit(2)) == 0, F.pmod("doc_id", F.lit(3)) == 0
+    index.upsert(docs.filter(even).withColumn("text", F.concat("text", F.lit(" draft draft"))))
+    index.upsert(docs.filter(~even))
+    index.delete(docs.filter(third))
+    index.upsert(docs.filter(even))
+    index.upsert(docs.filter(third))
+    while index.merge():
+        pass
+    return index.search(fixtures.query_texts(spark, sf))
+
+
 SQL_CAND_BM25 = f"""ct AS (SELECT query_id, d.doc_id, {duck.words('text')} AS t FROM dense JOIN documents d USING (doc_id)),
 cn AS (SELECT query_id, count(*) AS n, avg(len(t)) AS mean FROM ct GROUP BY query_id),
 cp AS (SELECT query_id, doc_id, l, term, count(*) AS tf FROM (SELECT query_id, doc_id, len(t) AS l, unnest(t) AS term FROM ct) GROUP BY ALL),
