@@ -10,7 +10,7 @@ into several files, small ones share a task.
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,11 @@ from threadloom.session import stored
 PLACE = ["namespace", "bucket"]
 
 
+def _is(column: str, value: object) -> Column:
+    """Equality that holds for nulls, and that prunes partitions."""
+    return F.col(column).isNull() if value is None else F.col(column) == value
+
+
 def last_per_id(incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key, the one with the highest ``order``; aggregated before the shuffle."""
     rest = [c for c in incoming.columns if c not in keys]
@@ -92,7 +97,15 @@ class ChunkStore:
          .option("partitionOverwriteMode", "dynamic").partitionBy(*PLACE).parquet(self.path))
 
     def _in(self, touched: DataFrame) -> DataFrame:
-        return null_safe(self._scan(), touched, PLACE, "left_semi").filter("id IS NOT NULL")
+        """Rows of the touched folders; no other folder is read. The folders, of which a change touches at most as
+        many as there are, become a plain condition on the partition columns."""
+        buckets: dict[str | None, list[int]] = {}
+        for place in touched.collect():
+            buckets.setdefault(place.namespace, []).append(place.bucket)
+        inside = [_is("namespace", name) & (F.col("bucket").isin([b for b in some if b is not None])
+                                            | (F.col("bucket").isNull() if None in some else F.lit(False)))
+                  for name, some in buckets.items()]
+        return self._scan().filter(reduce(or_, inside, F.lit(False))).filter("id IS NOT NULL")
 
     def upsert(self, incoming: DataFrame, order: str) -> None:
         """Insert or replace by id; inside the batch the last row by ``order`` wins."""
@@ -118,8 +131,9 @@ class ChunkStore:
         """Replace all rows of the incoming documents, however many chunks each had."""
         new = stored(self._placed(incoming), "incoming")
         changed = new.select("namespace", document).distinct()
-        old = null_safe(self._scan().filter("id IS NOT NULL"), changed, ["namespace", document],
-                        "left_semi").select(*PLACE)
+        names = [r.namespace for r in changed.select("namespace").distinct().collect()]  # only their folders are read
+        there = self._scan().filter(reduce(or_, [_is("namespace", n) for n in names], F.lit(False))).filter("id IS NOT NULL")
+        old = null_safe(there, changed, ["namespace", document], "left_semi").select(*PLACE)
         touched = stored(old.unionByName(new.select(*PLACE)).distinct(), "touched")
         kept = without(self._in(touched), changed, ["namespace", document])
         self._replace(touched, kept.select(*self.names, "bucket").unionByName(new.select(*self.names, "bucket")))
