@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import word_count
-from threadloom.operators.dense import cosine
-from threadloom.operators.ordering import previous, running_sum
+from threadloom.operators.ordering import running_sum
+from threadloom.operators.segmentation import sentence_chunks as sentences  # noqa: F401
 
 # Separators of the recursive splitter, coarse to fine.
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -112,16 +112,6 @@ def window_size(text: Column, base: int = 512, factor: float = 1.5, least: int =
                    F.lit(most)).cast("int")
 
 
-def semantic_breaks(sentences: DataFrame, doc: str, pos: str, vec: str = "vec",
-                    limit: float = 0.7, bucket: int = 1000) -> DataFrame:
-    """Chunk number per sentence: a new chunk where neighbours are less alike than ``limit``."""
-    cut = F.floor(F.col(pos) / bucket)
-    seen = previous(sentences, [doc], F.col(pos), cut, {"_prev": vec})
-    new = F.when(F.col("_prev").isNull() | (cosine(F.col("_prev"), F.col(vec)) < limit), 1).otherwise(0)
-    return running_sum(seen.withColumn("_new", new), [doc], [F.col(pos)], cut, F.col("_new"), "chunk_no"
-                       ).drop("_new", "_prev")
-
-
 def cues(df: DataFrame, size: int = 900, overlap: int = 200) -> DataFrame:
     """Transcript cues ``video_id, pos, start_time, end_time, text`` to overlapping chunks.
 
@@ -161,30 +151,3 @@ def cues(df: DataFrame, size: int = 900, overlap: int = 200) -> DataFrame:
     return whole.select("video_id", F.posexplode(F.arrays_zip(F.slice("starts", F.lit(1), F.size("ends")), "ends")).alias("i", "w"), "c").select(
         "video_id", "i", cue(F.col("w")["0"])["start_time"].alias("start_time"), cue(F.col("w.ends"))["end_time"].alias("end_time"),
         F.array_join(F.transform(F.slice("c", F.col("w")["0"] + 1, F.col("w.ends") - F.col("w")["0"] + 1), lambda x: x["text"]), " ").alias("text"))
-
-
-_SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
-
-
-def sentences(df: DataFrame, least: int = 300, most: int = 500) -> DataFrame:
-    """Cue texts packed into blocks of whole sentences, up to ``most`` characters; a last
-    block below ``least`` joins the one before."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        blocks: list[list] = []
-        for start, text in zip(pdf["start_time"], pdf["text"]):
-            for part in filter(None, map(str.strip, _SENTENCE_END.split((text or "").strip()))):
-                if blocks and len(blocks[-1][1]) + 1 + len(part) <= most:
-                    blocks[-1][1] += " " + part
-                elif blocks:
-                    blocks.append([start, part])
-                else:
-                    blocks.append([pdf["start_time"].iloc[0], part])
-        if len(blocks) > 1 and len(blocks[-1][1]) < least:
-            tail = blocks.pop()
-            blocks[-1][1] += " " + tail[1]
-        rows = [(pdf["video_id"].iloc[0], i, s, t) for i, (s, t) in enumerate(blocks)]
-        return pd.DataFrame(rows, columns=["video_id", "i", "start_time", "text"])
-
-    return df.groupBy("video_id").applyInPandas(
-        fold, "video_id string, i int, start_time double, text string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.operators import chunking, documents, grouping
+from threadloom.operators import chunking, documents, grouping, segmentation
 from threadloom.plans import duck, fixtures
 from threadloom.plans.registry import query
 from threadloom.plans.sources import SQL_CUES, transcripts, video_files
@@ -121,9 +121,41 @@ def chunk_cues(spark, sf):
     return chunking.cues(cues(spark, sf))
 
 
-@query("chunk_sentences")
+@query("chunk_sentences", f"""WITH RECURSIVE {SQL_CUES},
+sp AS (SELECT video_id, pos, start_time, unnest(string_split(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS part,
+  generate_subscripts(string_split(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) AS k FROM cues),
+p AS (SELECT video_id, start_time, part, length(part) AS l, row_number() OVER (PARTITION BY video_id ORDER BY pos, k) AS n FROM sp WHERE part <> ''),
+b AS (SELECT video_id, n, 0 AS i, l AS len FROM p WHERE n = 1
+  UNION ALL SELECT p.video_id, p.n, CASE WHEN b.len + 1 + p.l <= 500 THEN b.i ELSE b.i + 1 END, CASE WHEN b.len + 1 + p.l <= 500 THEN b.len + 1 + p.l ELSE p.l END
+  FROM b JOIN p ON p.video_id = b.video_id AND p.n = b.n + 1),
+s AS (SELECT video_id, i, sum(l + 1) - 1 AS len FROM b JOIN p USING (video_id, n) GROUP BY ALL),
+t AS (SELECT video_id, max(i) AS final, arg_max(len, i) AS len FROM s GROUP BY ALL),
+g AS (SELECT p.*, CASE WHEN b.i = final AND final > 0 AND t.len < 300 THEN b.i - 1 ELSE b.i END AS i FROM p JOIN b USING (video_id, n) JOIN t USING (video_id)),
+f AS (SELECT video_id, arg_min(start_time, pos) AS first FROM cues GROUP BY ALL)
+SELECT video_id, i::INTEGER AS i, CASE WHEN i = 0 THEN any_value(first) ELSE arg_min(start_time, n) END AS start_time, string_agg(part, ' ' ORDER BY n) AS text
+FROM g JOIN f USING (video_id) GROUP BY video_id, i""")
 def chunk_sentences(spark, sf):
-    return chunking.sentences(cues(spark, sf))
+    return segmentation.sentence_chunks(cues(spark, sf))
+
+
+@query("chunk_semantic", r"""WITH RECURSIVE s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[^.!?
+]+[.!?
+]*'),
+  lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')) AS t, generate_subscripts(list_filter(list_transform(
+  regexp_extract_all(text, '[^.!?
+]+[.!?
+]*'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), 1) AS k FROM documents),
+c AS (SELECT doc_id, k, j, substring(t, j * 1000 + 1, 1000) AS part FROM (SELECT *, unnest(range((length(t) - 1) // 1000 + 1)) AS j FROM s)),
+p AS (SELECT *, length(part) AS l, list_distinct(regexp_extract_all(lower(part), '[a-z0-9]+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS n FROM c),
+u AS (SELECT a.*, coalesce(len(list_intersect(a.w, b.w)) / sqrt(len(a.w)::DOUBLE * len(b.w)), 0) < 0.7 OR len(a.w) * len(b.w) = 0 AS unlike
+  FROM p a LEFT JOIN p b ON b.doc_id = a.doc_id AND b.n = a.n - 1),
+g AS (SELECT doc_id, n, 0 AS i, l AS len FROM u WHERE n = 1
+  UNION ALL SELECT u.doc_id, u.n, CASE WHEN g.len + 1 + u.l > 1000 OR (u.unlike AND g.len >= 100) THEN g.i + 1 ELSE g.i END,
+    CASE WHEN g.len + 1 + u.l > 1000 OR (u.unlike AND g.len >= 100) THEN u.l ELSE g.len + 1 + u.l END
+  FROM g JOIN u ON u.doc_id = g.doc_id AND u.n = g.n + 1)
+SELECT doc_id, i::INTEGER AS chunk_no, string_agg(part, ' ' ORDER BY n) AS chunk FROM g JOIN u USING (doc_id, n) GROUP BY doc_id, i""")
+def chunk_semantic(spark, sf):
+    return segmentation.semantic_chunks(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 @query("chunk_windowed")
