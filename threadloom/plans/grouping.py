@@ -138,13 +138,9 @@ def chunk_sentences(spark, sf):
     return segmentation.sentence_chunks(cues(spark, sf))
 
 
-@query("chunk_semantic", r"""WITH RECURSIVE s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[^.!?
-]+[.!?
-]*'),
+@query("chunk_semantic", r"""WITH RECURSIVE s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[.!?\n]*[^.!?\n]+[.!?\n]*|[.!?\n]+'),
   lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')) AS t, generate_subscripts(list_filter(list_transform(
-  regexp_extract_all(text, '[^.!?
-]+[.!?
-]*'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), 1) AS k FROM documents),
+  regexp_extract_all(text, '[.!?\n]*[^.!?\n]+[.!?\n]*|[.!?\n]+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), 1) AS k FROM documents),
 c AS (SELECT doc_id, k, j, substring(t, j * 1000 + 1, 1000) AS part FROM (SELECT *, unnest(range((length(t) - 1) // 1000 + 1)) AS j FROM s)),
 p AS (SELECT *, length(part) AS l, list_distinct(regexp_extract_all(lower(part), '[a-z0-9]+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS n FROM c),
 u AS (SELECT a.*, coalesce(len(list_intersect(a.w, b.w)) / sqrt(len(a.w)::DOUBLE * len(b.w)), 0) < 0.7 OR len(a.w) * len(b.w) = 0 AS unlike
