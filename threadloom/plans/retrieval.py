@@ -453,7 +453,15 @@ def rr_external_scores(spark, sf):
     return rerank.external_scores(merged, given, 10)
 
 
-@query("rr_mmr")
+@query("rr_mmr", f"""WITH RECURSIVE {SQL_DENSE},
+c AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER q > min(score) OVER q THEN (score - min(score) OVER q) / (max(score) OVER q - min(score) OVER q)
+  ELSE 0 END AS rel, embedding::DOUBLE[] AS v FROM dense JOIN embeddings ON vec_id = doc_id WINDOW q AS (PARTITION BY query_id)),
+s AS (SELECT query_id, doc_id, rel, v, NULL::DOUBLE AS nearest, NULL::BIGINT AS rank, 0::BIGINT AS step FROM c
+  UNION ALL SELECT query_id, doc_id, rel, v, greatest(coalesce(nearest, -9), list_cosine_similarity(v, chosen_v)),
+    CASE WHEN rank IS NULL AND doc_id = chosen THEN step + 1 ELSE rank END, step + 1
+  FROM (SELECT *, first_value(doc_id) OVER w AS chosen, first_value(v) OVER w AS chosen_v FROM s WHERE step < 10
+    WINDOW w AS (PARTITION BY query_id ORDER BY rank IS NOT NULL, round(CASE WHEN step = 0 THEN rel ELSE 0.5 * rel - 0.5 * nearest END, 9) DESC, doc_id)))
+SELECT query_id, doc_id, rank FROM s WHERE step = 10 AND rank IS NOT NULL""")
 def rr_mmr(spark, sf):
     return rerank.mmr(dense_hits(spark, sf), fixtures.vectors(spark, sf))
 
