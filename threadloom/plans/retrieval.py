@@ -169,11 +169,35 @@ def ret_hop_expand(spark, sf):
     return graph.hop_expand(dense_hits(spark, sf, 5), edges(spark, sf))
 
 
-@query("ret_ppr")
+def ppr_rounds(rounds: int) -> str:
+    """Power iteration, a table per round; sinks return to the seeds."""
+    steps = []
+    for k in range(rounds):
+        steps.append(f"""moved{k} AS MATERIALIZED (SELECT query_id, dst AS doc_id, sum(mass * p) AS mass FROM mass{k} JOIN hop ON src = doc_id GROUP BY ALL),
+mass{k + 1} AS MATERIALIZED (SELECT query_id, doc_id, sum(mass) AS mass FROM (SELECT query_id, doc_id, 0.85 * mass AS mass FROM moved{k}
+  UNION ALL SELECT h.query_id, h.doc_id, home * (0.15 + 0.85 * (1 - coalesce(kept, 0))) FROM mass0 h
+  LEFT JOIN (SELECT query_id, sum(mass) AS kept FROM moved{k} GROUP BY ALL) USING (query_id)) GROUP BY ALL)""")
+    return ",\n".join(steps)
+
+
+@query("ret_ppr", f"""WITH {SQL_DENSE}, {SQL_EDGES},
+best AS (SELECT src, dst, max(prior) AS prior FROM edges JOIN (VALUES ('reply', 1.0::DOUBLE), ('same_thread', 0.7::DOUBLE),
+  ('reference', 0.5::DOUBLE), ('similar', 0.3::DOUBLE)) AS p(kind, prior) USING (kind) GROUP BY ALL),
+hop AS MATERIALIZED (SELECT src, dst, prior / sum(prior) OVER (PARTITION BY src) AS p FROM best),
+mass0 AS MATERIALIZED (SELECT query_id, doc_id, score / sum(score) OVER (PARTITION BY query_id) AS home, home AS mass FROM dense WHERE rank <= 5),
+{ppr_rounds(20)}
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+FROM (SELECT query_id, doc_id, round(mass, 6) AS score FROM mass20) QUALIFY rank <= 50""")
 def ret_ppr(spark, sf):
     return graph.personalised_pagerank(dense_hits(spark, sf, 5), edges(spark, sf))
 
 
+@query("ret_ppr_push")
+def ret_ppr_push(spark, sf):
+    """The same ranking from pushes near the seeds, each score short of the full one by the bound at most."""
+    return graph.pushed_pagerank(dense_hits(spark, sf, 5), edges(spark, sf))
+
+
 @query("ret_parent_child", f"""WITH {fixtures.SQL_MAIL}
 SELECT m.msg_id, m.parent_id, m.thread_id, (SELECT count(*) FROM mail c WHERE c.parent_id = m.msg_id) AS children,
   turn AS ancestors, 'M' || conv_id || 'T0' AS top FROM mail m""")
