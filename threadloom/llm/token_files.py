@@ -22,10 +22,10 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from threadloom.llm.common import Memo, byte_lengths, slices
+from threadloom.llm.common import byte_lengths, slices
 from threadloom.llm.wordpieces import library, special_strings
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,6 +62,25 @@ SHARD_FIELDS = pa.schema([("name", pa.string()), ("docs", pa.int64()), ("ids", p
                           ("batch", pa.int64()), ("head", pa.int64()), ("stride", pa.int64()), ("width", pa.int64())])
 
 
+class Seen:
+    """Values of keys, computed for many at once. Most words of a corpus stand there once, so a key is ``kept`` from the
+    second time on that it is asked for; ``new`` has those asked for once, and is emptied more often. Both are bounded."""
+
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], most: int):
+        self.compute, self.most, self.kept, self.new = compute, most, {}, {}
+
+    def learn(self, keys: set[str]) -> dict[str, bytes]:
+        """Values of keys that are not kept yet."""
+        again = {key: self.new.pop(key) for key in keys if key in self.new}
+        ask = [key for key in keys if key not in again]
+        fresh = dict(zip(ask, self.compute(ask))) if ask else {}
+        for held, more, most in ((self.kept, again, self.most), (self.new, fresh, self.most // 2)):
+            if len(held) + len(more) > most:
+                held.clear()
+            held.update({key: value for key, value in more.items() if len(key) <= LONG_RUN})
+        return again | fresh
+
+
 class Encoder:
     """Ids of texts by the tokenizers library. No pre-token of the vocabulary's pattern goes on from a
     character to white space after it, so a text is the sum of runs of white space with what follows; what the
@@ -70,22 +89,22 @@ class Encoder:
     def __init__(self, path: str = VOCABULARY):
         self.library, self.special = library(path), special_strings(path)
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.runs = Memo(self._encode, RUNS_KEPT // 10)
-        self.words = Memo(lambda words: self._encode([f" {w}" for w in words]), RUNS_KEPT)
+        self.runs = Seen(self._encode, RUNS_KEPT // 10)
+        self.words = Seen(lambda words: self._encode([f" {w}" for w in words]), RUNS_KEPT)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _known(self, memo: Memo, parts: list[list[str]]) -> Iterator[bytes]:
-        """Ids of each list of runs."""
-        found = [list(map(memo.get, some)) for some in parts]
-        open_ = [k for k, ids in enumerate(found) if None in ids]
-        new = {run for k in open_ for run, ids in zip(parts[k], found[k]) if ids is None}
-        long = [run for run in new if len(run) > LONG_RUN]
-        values = dict(zip(long, memo.compute(long))) if long else {}
-        memo.learn(new.difference(long))
+        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        raw = np.fromiter(chain.from_iterable(ids), self.type).tobytes()
+        ends = np.cumsum([0, *map(len, ids)]) * self.type.itemsize
+        return [raw[a:b] for a, b in pairwise(ends.tolist())]
+
+    def _known(self, seen: Seen, parts: list[list[str]]) -> Iterator[bytes]:
+        """Ids of each list of runs, none of which is empty."""
+        found = [list(map(seen.kept.get, some)) for some in parts]
+        open_ = [k for k, ids in enumerate(found) if not all(ids)]
+        values = seen.learn({run for k in open_ for run, ids in zip(parts[k], found[k]) if ids is None})
         for k in open_:
-            found[k] = [(values.get(run) or memo[run]) if ids is None else ids for run, ids in zip(parts[k], found[k])]
+            found[k] = [values[run] if ids is None else ids for run, ids in zip(parts[k], found[k])]
         return map(b"".join, found)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -97,7 +116,7 @@ class Encoder:
                 runs, words = RUN.findall(text), []
             else:
                 words = text.split(" ")
-                runs = [words.pop(0)]
+                runs = [run for run in (words.pop(0),) if run]
             first.append(runs)
             rest.append(words)
         for text, runs, words in zip(texts, self._known(self.runs, first), self._known(self.words, rest)):
