@@ -9,7 +9,7 @@ from threadloom.operators import documents, joins
 from threadloom.plans import duck, fixtures
 from threadloom.plans.registry import query
 from threadloom.session import scratch_path
-from threadloom.sources import chat, files, parsers
+from threadloom.sources import chat, fetched_pages, files, parsers
 from threadloom.tables import table
 
 
@@ -259,12 +259,15 @@ def src_pdf_pages(spark, sf):
     return parsers.paged_documents(pages, "https://papers.example.org", "ann")
 
 
-@query("src_api_pages", """
+SQL_API_PAGES = """
 WITH e AS (SELECT event_id, event_type AS feed, 100000000 - event_id AS pos,
   CASE WHEN value >= 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS date FROM events),
 s AS (SELECT feed, min(pos) AS stop FROM e WHERE date < '2024-01-08' GROUP BY feed)
 SELECT event_id, feed, date FROM e LEFT JOIN s USING (feed)
-WHERE (stop IS NULL OR pos < stop) AND (date IS NULL OR date <= '2024-01-20T12:00:00')""")
+WHERE (stop IS NULL OR pos < stop) AND (date IS NULL OR date <= '2024-01-20T12:00:00')"""
+
+
+@query("src_api_pages", SQL_API_PAGES)
 def src_api_pages(spark, sf):
     items = table(spark, sf, "events").select(
         "event_id", F.col("event_type").alias("feed"), (F.lit(100000000) - F.col("event_id")).alias("pos"),
@@ -272,6 +275,21 @@ def src_api_pages(spark, sf):
     return parsers.api_window(items, "2024-01-08", "2024-01-20T12:00:00").select("event_id", "feed", "date")
 
 
+@query("src_fetched_pages", SQL_API_PAGES)
+def src_fetched_pages(spark, sf):
+    """The same listing from pages of 500 items that lie in a folder, read by the data source for fetched pages."""
+    folder = scratch_path(spark, "fetched")
+    pos = F.lit(100000000) - F.col("event_id")
+    listing = table(spark, sf, "events").select(
+        F.col("event_type").alias("feed"), F.floor(F.col("event_id") / 500).alias("page"), F.to_json(F.struct(
+            "event_id", pos.alias("pos"), F.when(F.col("value") >= 1, F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")).alias("date")
+        )).alias("value"))
+    listing.repartition("feed", "page").write.partitionBy("feed", "page").text(folder)
+    items = fetched_pages.read_pages(spark, folder).select(
+        "feed", F.from_json("item", "event_id long, pos long, date string").alias("i")).select("feed", "i.*")
+    return parsers.api_window(items, "2024-01-08", "2024-01-20T12:00:00").select("event_id", "feed", "date")
+
+
 @query("src_format_email", f"""WITH {fixtures.SQL_MAIL}
 SELECT msg_id, parent_id, thread_id, subject, content, list_name, sent_at,
   CASE WHEN conv_id % 5 = 0 THEN '' ELSE sender_address END AS sender_address,
