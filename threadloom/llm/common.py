@@ -25,11 +25,6 @@ def held_out(key: Column, modulus: int) -> Column:
     return remainder(key, modulus) == 0
 
 
-def picked(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the columns an operator works on, so that no other name can clash with its own."""
-    return df.select(*[F.col(f"`{name}`") for name in columns])
-
-
 def utf8(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each text, without decoding; null is empty."""
     for value in column.cast(pa.binary()):
