@@ -107,7 +107,3 @@ def values(rows: list[tuple], name: str, *cols: str) -> str:
         return f"{v}::DOUBLE" if isinstance(v, float) else str(v)
     body = ", ".join("(" + ", ".join(one(v) for v in r) + ")" for r in rows)
     return f"(VALUES {body}) AS {name}({', '.join(cols)})"
-
-
-def flat(sql: str) -> str:
-    return sql.strip()
