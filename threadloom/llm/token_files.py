@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from threadloom.llm.common import byte_lengths, slices
-from threadloom.llm.wordpieces import library, special_strings
+from threadloom.llm.wordpieces import byte_letters, library, special_strings
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
@@ -48,6 +49,8 @@ GROUP_BYTES = 1 << 21
 READ_IDS = 1 << 20
 LONG_TEXT = 1 << 20
 LONG_RUN = 64
+MARKS = ".,;:!?"
+LATIN_END = "\u0250"  # letters up to here are letters in any version of Unicode
 RUNS_KEPT = 600_000
 
 # White space as Unicode defines it, which is what the vocabulary's pattern parts words by.
@@ -74,11 +77,14 @@ class Seen:
         again = {key: self.new.pop(key) for key in keys if key in self.new}
         ask = [key for key in keys if key not in again]
         fresh = dict(zip(ask, self.compute(ask))) if ask else {}
-        for held, more, most in ((self.kept, again, self.most), (self.new, fresh, self.most // 2)):
-            if len(held) + len(more) > most:
+        values = again | fresh
+        if fresh and max(map(len, fresh)) > LONG_RUN:
+            fresh = {key: value for key, value in fresh.items() if len(key) <= LONG_RUN}
+        for held, more in ((self.kept, again), (self.new, fresh)):
+            if len(held) + len(more) > self.most:
                 held.clear()
-            held.update({key: value for key, value in more.items() if len(key) <= LONG_RUN})
-        return again | fresh
+            held.update(more)
+        return values
 
 
 class Encoder:
@@ -90,7 +96,10 @@ class Encoder:
         self.library, self.special = library(path), special_strings(path)
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.runs = Seen(self._encode, RUNS_KEPT // 10)
-        self.words = Seen(lambda words: self._encode([f" {w}" for w in words]), RUNS_KEPT)
+        self.words = Seen(self._words, RUNS_KEPT)
+        self.model, self.code = self.library.model, "H" if self.type.itemsize == 2 else "I"
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
+        self.marks = dict(zip(MARKS, self._encode(list(MARKS))))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -98,6 +107,22 @@ class Encoder:
         ends = np.cumsum([0, *map(len, ids)]) * self.type.itemsize
         return [raw[a:b] for a, b in pairwise(ends.tolist())]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words behind a space. One of Latin letters is one pre-token, and a mark behind it another, so such
+        a word is given to the library's model as it is; others go through all of the library."""
+        bare = [w if w.isalpha() else w[:-1] if w[-1:] in self.marks and w[:-1].isalpha() else "" for w in words]
+        known = dict.fromkeys(b for b in bare if b and (b.isascii() or max(b) < LATIN_END))
+        for b in known:
+            ids = self.words.kept.get(b) or self.words.new.get(b)
+            if ids is None:
+                spelled = b if b.isascii() else b.encode().decode("latin-1").translate(self.letters)
+                ids = array(self.code, [t.id for t in self.model.tokenize(self.letters[32] + spelled)]).tobytes()
+            known[b] = ids
+        other = [w for w, b in zip(words, bare) if b not in known]
+        rest = iter(self._encode([f" {w}" for w in other]) if other else [])
+        return [next(rest) if b not in known else known[b] if len(b) == len(w) else known[b] + self.marks[w[-1]]
+                for b, w in zip(bare, words)]
+
     def _known(self, seen: Seen, parts: list[list[str]]) -> Iterator[bytes]:
         """Ids of each list of runs, none of which is empty."""
         found = [list(map(seen.kept.get, some)) for some in parts]
