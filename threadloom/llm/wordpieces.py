@@ -66,6 +66,8 @@ def byte_letters() -> dict[str, int]:
 
 def plain(text: str) -> bool:
     """Only characters of PLAIN, in which white space is what splits words."""
+    if text.isascii() and text.isprintable():
+        return True
     try:
         return not text.encode("latin-1").translate(None, PLAIN)
     except UnicodeEncodeError:
