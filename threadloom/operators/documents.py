@@ -10,6 +10,7 @@ from threadloom.functions import dates, ids, numbers, text
 from threadloom.functions.quality import long_enough
 from threadloom.functions.text import empty_if_null, null_if_empty, strip
 from threadloom.operators.joins import paper_metadata
+from threadloom.session import sent
 
 
 def either(df: DataFrame, *names: str) -> Column:
@@ -145,9 +146,10 @@ def video_segments(chunks: DataFrame, meta: DataFrame, min_chars: int = 50) -> D
 
 
 def tool_entries(files: DataFrame, categories: DataFrame, build_time: str) -> DataFrame:
-    """Tool documentation ``tool_name, category, file_path, text`` under its namespace."""
+    """Tool documentation ``tool_name, category, file_path, text`` under its namespace. Categories are few and go to the
+    files; joined by a shuffle, each would gather its files with their texts in one task."""
     return (
-        files.join(categories, "category", "left")
+        files.join(sent(categories), "category", "left")
         .select("tool_name", "file_path", "namespace", F.sha2("text", 256).alias("hash"),
                 F.lit(build_time).alias("build_time"), "text")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from threadloom import fixed_values as fv
 from threadloom.operators.dense import Best, cosine
 from threadloom.operators.ranking import ranked, top_k
-from threadloom.session import BROADCAST_LIMIT_BYTES, cut_lineage, fits_broadcast, stored
+from threadloom.session import BROADCAST_LIMIT_BYTES, cut_lineage, sent, stored
 
 EDGE_BYTES = 16  # of one edge in a task that walks: two places and a chance
 
@@ -26,11 +26,6 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(ways).alias("way"), *others).select("way.*", *others)
 
 
-def sent(df: DataFrame) -> DataFrame:
-    """``df`` marked for a broadcast, if it is small enough."""
-    return F.broadcast(df) if fits_broadcast(df) else df
-
-
 def leaving(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges that begin at ``nodes(doc_id)``, which are few: the others are dropped where they are read, before any
     grouping."""
