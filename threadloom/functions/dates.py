@@ -50,14 +50,16 @@ def _naive(text: Column, pattern: str) -> Column:
 
 def parse_timestamp(c: Column) -> Column:
     """Timestamp of a date in any of the known formats, else null."""
-    text = F.translate(strip(c), "­​", "")
-    iso_tail = F.contains(text, F.lit("T")) & (
-        F.endswith(text, F.lit("Z")) | F.rlike(text, F.lit(_ZONE + r"\z")))
-    text = F.when(
-        iso_tail,
-        strip(F.regexp_replace(strip(F.replace(text, F.lit("Z"), F.lit(""))),
-                               _ZONE + r"\z", "")),
-    ).otherwise(text)
+    def without_iso_tail(text: Column) -> Column:
+        iso_tail = F.contains(text, F.lit("T")) & (
+            F.endswith(text, F.lit("Z")) | F.rlike(text, F.lit(_ZONE + r"\z")))
+        return F.when(
+            iso_tail,
+            strip(F.regexp_replace(strip(F.replace(text, F.lit("Z"), F.lit(""))),
+                                   _ZONE + r"\z", "")),
+        ).otherwise(text)
+
+    text = let(F.translate(strip(c), "­​", ""), without_iso_tail)
     text = F.regexp_replace(text, f"{WS}+", " ")
     # A weekday stands only before a day of the month with a time of day.
     bare = let(text, lambda t: F.regexp_replace(
@@ -84,11 +86,12 @@ def epoch_from_date(c: Column, default: float = 0.0) -> Column:
 
 def date_to_iso(c: Column) -> Column:
     """ISO text of a date; "" for an empty one, the epoch for an unknown one."""
-    seconds = epoch_from_date(c)
-    micros = F.round((seconds - F.floor(seconds)) * 1e6).cast("long")
-    text = F.date_format(F.timestamp_seconds(F.floor(seconds)), "yyyy-MM-dd'T'HH:mm:ss")
-    return F.when(strip(empty_if_null(c)) == "", "").otherwise(
-        F.when(micros == 0, text).otherwise(F.concat(text, F.lit("."), F.lpad(micros.cast("string"), 6, "0"))))
+    def written(seconds: Column) -> Column:
+        micros = F.round((seconds - F.floor(seconds)) * 1e6).cast("long")
+        text = F.date_format(F.timestamp_seconds(F.floor(seconds)), "yyyy-MM-dd'T'HH:mm:ss")
+        return F.when(micros == 0, text).otherwise(F.concat(text, F.lit("."), F.lpad(micros.cast("string"), 6, "0")))
+
+    return F.when(strip(empty_if_null(c)) == "", "").otherwise(let(epoch_from_date(c), written))
 
 
 def _ymd_epoch(year: Column, month: Column, day: Column) -> Column:
@@ -154,15 +157,16 @@ def iso_duration_seconds(c: Column) -> Column:
 
 def human_duration(c: Column) -> Column:
     """Seconds to ``1h 2m 3s``, leaving out parts that are zero."""
-    s = F.floor(c).cast("long")
-    hours, minutes, secs = (F.floor(s / 3600).cast("long"),
-                            F.floor((s % 3600) / 60).cast("long"), s % 60)
-    text = F.concat_ws(
-        " ",
-        F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h"))),
-        F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("m"))),
-        F.when(secs > 0, F.concat(secs.cast("string"), F.lit("s"))))
-    return F.when(text == "", "0s").otherwise(text)
+    def written(s: Column) -> Column:
+        hours, minutes, secs = (F.floor(s / 3600).cast("long"),
+                                F.floor((s % 3600) / 60).cast("long"), s % 60)
+        return F.concat_ws(
+            " ",
+            F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h"))),
+            F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("m"))),
+            F.when(secs > 0, F.concat(secs.cast("string"), F.lit("s"))))
+
+    return let(let(F.floor(c).cast("long"), written), lambda text: F.when(text == "", "0s").otherwise(text))
 
 
 def decay(age_days: Column, scale: float) -> Column:

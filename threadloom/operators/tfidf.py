@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom import fixed_values as fv
 from threadloom.functions.text import WORD_SET, let
+from threadloom.operators.bm25 import wanted_docs
 from threadloom.operators.ranking import top_k
 from threadloom.session import cut_lineage
 
@@ -57,7 +58,7 @@ def vectors(model: TfidfModel, rows: DataFrame, key: str, text: str) -> DataFram
 
 def similarity(model: TfidfModel, queries: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Cosine of the given (query, doc) pairs only; 0 when no term is shared."""
-    wanted = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    wanted = wanted_docs(docs, pairs)
     d = vectors(model, wanted, "doc_id", "text").withColumnRenamed("w", "dw")
     q = vectors(model, queries, "query_id", "query_text").withColumnRenamed("w", "qw")
     shared = (pairs.select("query_id", "doc_id").join(q, "query_id").join(d, ["doc_id", "term"])

@@ -8,7 +8,7 @@ from threadloom import fixed_values as fv
 from threadloom.functions import dates, numbers, text
 from threadloom.plans import duck, fixtures
 from threadloom.plans.registry import query
-from threadloom.tables import spread, table
+from threadloom.tables import TASK_ROWS, spread, table
 
 
 @query("str_clean_text", f"SELECT doc_id, {duck.clean_text('text')} AS cleaned FROM documents")
@@ -193,10 +193,11 @@ SELECT event_id, round((CASE event_id % {len(_FORMATS)} {' '.join(
     f'WHEN {i} THEN {_KIND[k]}' for i, (_, _, k) in enumerate(_FORMATS))} END))::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%S') AS iso
 FROM events""")
 def dt_parse_any(spark, sf):
-    written = _written(F.col("ts").cast("timestamp"))
-    return spread(table(spark, sf, "events").select("event_id", "ts")).select(
-        "event_id", F.round(dates.epoch_from_date(written), 6).alias("epoch"),
-        F.substring(dates.date_to_iso(written), 1, 19).alias("iso"))
+    rows = spread(table(spark, sf, "events").select("event_id", "ts"), TASK_ROWS).select(
+        "event_id", _written(F.col("ts").cast("timestamp")).alias("written"))
+    return rows.select(
+        "event_id", F.round(dates.epoch_from_date(F.col("written")), 6).alias("epoch"),
+        F.substring(dates.date_to_iso(F.col("written")), 1, 19).alias("iso"))
 
 
 @query("dt_pdf", """SELECT event_id, CASE event_type WHEN 'click' THEN 0.0::DOUBLE
@@ -264,9 +265,10 @@ def dt_iso_duration(spark, sf):
         "CASE WHEN user_id >= 60 THEN concat(user_id DIV 60, 'H') ELSE '' END, "
         "CASE WHEN user_id % 60 > 0 THEN concat(user_id % 60, 'M') ELSE '' END, "
         "event_id % 60, 'S') END")
-    seconds = dates.iso_duration_seconds(raw)
-    return table(spark, sf, "events").select(
-        "event_id", seconds.alias("seconds"), dates.human_duration(seconds).alias("readable"))
+    # in steps, so that a text is built once and read once
+    rows = spread(table(spark, sf, "events").select("event_id", "user_id", "event_type"), TASK_ROWS).select("event_id", raw.alias("raw"))
+    rows = rows.select("event_id", dates.iso_duration_seconds(F.col("raw")).alias("seconds"))
+    return rows.select("event_id", "seconds", dates.human_duration(F.col("seconds")).alias("readable"))
 
 
 @query("score_recency_bonus", f"""
