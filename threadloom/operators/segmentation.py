@@ -9,14 +9,21 @@ sequence, so a long sequence is no single task.
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators.ordering import previous, running_sum
-from threadloom.session import cut_lineage
+from threadloom.session import cut_lineage, sent, stored
 
 BUCKET_CHARS = 1 << 16
 BUCKET_PARTS = 1 << 12
+PIECES = re.compile(r"[.!?\n]*[^.!?\n]+[.!?\n]*|[.!?\n]+")
+WORDS = re.compile("[a-z0-9]+")
 
 
 def offsets(parts: DataFrame, key: str) -> DataFrame:
@@ -127,7 +134,47 @@ def semantic_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     """``key, chunk_no, chunk``: a text's sentences in chunks of ``least`` to ``most`` characters. A sentence that is less
     like the one before than ``limit`` begins a chunk as soon as the open one has ``least`` characters; any does when it
     would take the open one over ``most``. Likeness is the cosine of the sentences' sets of words. Sentences over
-    ``most`` are cut; a text's last chunk may be shorter."""
+    ``most`` are cut; a text's last chunk may be shorter. A key's only text is cut in the task that reads it; rows that
+    share a key, or have none, are taken as one sequence by joins."""
+    docs = docs.select(key, text)
+    shared = stored(docs.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter((F.col("_rows") > 1) | F.col(key).isNull()).select(key), "shared-keys")
+    schema = f"{key} {docs.schema[key].dataType.simpleString()}, chunk_no int, chunk string"
+
+    def cut_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [chunked(t or "", limit, least, most) for t in batch.column(1).to_pylist()]
+            rows = pa.array([row for row, chunks in enumerate(cut) for _ in chunks], type=pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), pa.array([n for chunks in cut for n in range(len(chunks))], type=pa.int32()),
+                 pa.array([c for chunks in cut for c in chunks], type=pa.string())], [key, "chunk_no", "chunk"])
+
+    if shared.isEmpty():
+        return docs.mapInArrow(cut_alone, schema)
+    mark, same = sent(shared.withColumnRenamed(key, "_key")), F.col(key).eqNullSafe(F.col("_key"))
+    alone = docs.join(mark, same, "left_anti").mapInArrow(cut_alone, schema)
+    return alone.unionByName(_chunks_by_joins(docs.join(mark, same, "left_semi"), key, text, limit, least, most))
+
+
+def chunked(text: str, limit: float, least: int, most: int) -> list[str]:
+    """The chunks of one text."""
+    clean = [p for p in (p.strip(" \t\n\r") for p in PIECES.findall(text)) if p]
+    parts = [p[k:k + most] for p in clean for k in range(0, len(p), most)]
+    chunks, size, before = [], 0, set()
+    for part in parts:
+        words = set(WORDS.findall(part.lower()))
+        product = len(before) * len(words)
+        unlike = product == 0 or len(before & words) / math.sqrt(product) < limit
+        if not chunks or size + 1 + len(part) > most or (unlike and size >= least):
+            chunks.append([part])
+            size = len(part)
+        else:
+            chunks[-1].append(part)
+            size += 1 + len(part)
+        before = words
+    return [" ".join(c) for c in chunks]
+
+
+def _chunks_by_joins(docs: DataFrame, key: str, text: str, limit: float, least: int, most: int) -> DataFrame:
     pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[.!?\n]*[^.!?\n]+[.!?\n]*|[.!?\n]+"), F.lit(0))
     clean = F.filter(F.transform(pieces, lambda p: F.btrim(p, F.lit(" \t\n\r"))), lambda p: p != "")
     cut = F.flatten(F.transform(clean, lambda p: F.transform(

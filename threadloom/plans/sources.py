@@ -284,7 +284,9 @@ def src_fetched_pages(spark, sf):
         F.col("event_type").alias("feed"), F.floor(F.col("event_id") / 500).alias("page"), F.to_json(F.struct(
             "event_id", pos.alias("pos"), F.when(F.col("value") >= 1, F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")).alias("date")
         )).alias("value"))
-    listing.repartition("feed", "page").write.partitionBy("feed", "page").text(folder)
+    # each task puts its own files in place: there is one for every page, too many for the driver to move one by one
+    listing.repartition("feed", "page").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(
+        "feed", "page").text(folder)
     items = fetched_pages.read_pages(spark, folder).select(
         "feed", F.from_json("item", "event_id long, pos long, date string").alias("i")).select("feed", "i.*")
     return parsers.api_window(items, "2024-01-08", "2024-01-20T12:00:00").select("event_id", "feed", "date")

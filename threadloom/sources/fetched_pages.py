@@ -12,13 +12,16 @@ import operator
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, Filter, InputPartition
 
 PART_BYTES = 8 * 1024 * 1024
+BATCH_ROWS = 2_000
 COLUMNS = "feed string, page long, item string"
 PLACE = re.compile(r"(?:^|/)feed=([^/]+)/page=(\d+)/[^/_.][^/]*$")
 
@@ -70,6 +73,14 @@ def items(folder: str, part: Pages | None) -> Iterator[tuple]:
                     yield page.feed, page.number, line
 
 
+def batches(folder: str, part: Pages | None) -> Iterator[pa.RecordBatch]:
+    """The items of a partition, some thousands at a time."""
+    rows = items(folder, part)
+    while some := list(islice(rows, BATCH_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*some), (pa.string(), pa.int64(), pa.string()))],
+                                         ["feed", "page", "item"])
+
+
 class PageReader(DataSourceReader):
     def __init__(self, folder: str):
         self.folder, self.tests = folder, []
@@ -89,8 +100,8 @@ class PageReader(DataSourceReader):
     def partitions(self) -> list[Pages]:
         return dealt(filter(self._wanted, listed(self.folder)))
 
-    def read(self, partition: Pages | None) -> Iterator[tuple]:
-        return items(self.folder, partition)
+    def read(self, partition: Pages | None) -> Iterator[pa.RecordBatch]:
+        return batches(self.folder, partition)
 
 
 class PageStream(DataSourceStreamReader):
