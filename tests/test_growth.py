@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from threadloom.functions import dates
-from threadloom.operators import bm25, documents, segmentation
+from threadloom.operators import bm25, documents, keyword_index, segmentation
 from threadloom.plans import fixtures, scalars
+from threadloom.session import scratch_path
 from threadloom.tables import TASK_ROWS, spread
 
 
@@ -67,3 +68,25 @@ def test_texts_are_cut_where_they_are_read(spark):
     assert rows(cut) == rows(segmentation._chunks_by_joins(alone, "doc_id", "text", 0.7, 100, 1000))
     whole = segmentation.semantic_chunks(docs)
     assert rows(whole.filter("doc_id <> 95")) and {r.doc_id for r in whole.collect()} >= {7, 95}
+
+
+REPEATED = [(1, "a b b"), (2, "c a"), (3, None), (4, ""), (5, "x"), (5, "x y"), (5, "y x"), (None, "a"), (None, "a b")]
+
+
+def test_postings_are_kept_in_blocks(spark):
+    """A term's postings are a row per chunk, not per document, and repeated ids count as they did row by row."""
+    queries = spark.createDataFrame([(7, "a x y"), (8, "nothing")], "query_id long, query_text string")
+    many = spark.createDataFrame([(k, f"common w{k % 7} {'more ' * (k % 5)}") for k in range(3000)], "doc_id long, text string").coalesce(1)
+    path = scratch_path(spark, "test-blocks")
+    keyword_index.build(many, path)
+    assert spark.read.parquet(f"{path}/postings").filter("term = 'common'").count() < 10
+    asked = spark.createDataFrame([(1, "w3 more"), (2, "common")], "query_id long, query_text string")
+    rows = lambda df: sorted((r.query_id, r.rank, r.doc_id, r.score) for r in df.collect())
+    assert rows(keyword_index.search(spark, path, asked, 20)) == rows(bm25.bm25_corpus(asked, many, 20))
+    path = scratch_path(spark, "test-blocks")
+    keyword_index.build(spark.createDataFrame(REPEATED, "doc_id long, text string"), path)
+    got = [(r.doc_id, r.score) for r in keyword_index.search(spark, path, queries).orderBy("rank").collect()]
+    assert got == [(5, 4.685176), (None, 0.96264), (2, 0.422623), (1, 0.347154)]
+    empty = scratch_path(spark, "test-blocks")
+    keyword_index.build(many.filter("false"), empty)
+    assert keyword_index.search(spark, empty, queries).count() == 0
