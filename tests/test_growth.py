@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from threadloom.functions import dates
-from threadloom.operators import bm25, documents, keyword_index, segmentation
+from threadloom.operators import bm25, documents, keyword_index, segmentation, segments
 from threadloom.plans import fixtures, scalars
 from threadloom.session import scratch_path
 from threadloom.tables import TASK_ROWS, spread
@@ -90,3 +90,20 @@ def test_postings_are_kept_in_blocks(spark):
     empty = scratch_path(spark, "test-blocks")
     keyword_index.build(many.filter("false"), empty)
     assert keyword_index.search(spark, empty, queries).count() == 0
+
+
+def test_a_segment_moves_a_row_per_document(spark, monkeypatch):
+    """What an upsert keeps and shuffles is a row per document, whatever the number of its terms."""
+    seen = []
+    original = segments.stored
+    monkeypatch.setattr(segments, "stored", lambda df, name, *by: seen.append((name, original(df, name, *by))) or seen[-1][1])
+    index = segments.KeywordSegments(spark, scratch_path(spark, "test-index"))
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k % 50))) for k in range(200)] + REPEATED[4:7], "doc_id long, text string")
+    index.upsert(docs.filter("doc_id >= 6"))
+    assert seen[0][1].count() == 194
+    index.upsert(docs.filter("doc_id < 6"))
+    queries = spark.createDataFrame([(1, "w3 x"), (2, "w48 y")], "query_id long, query_text string")
+    few = index.search(queries, 300)
+    monkeypatch.setattr(segments, "weight_rows", lambda weights: None)
+    rows = lambda df: sorted((r.query_id, r.rank, r.doc_id, r.score) for r in df.collect())
+    assert rows(few) == rows(index.search(queries, 300)) and few.count() > 150
