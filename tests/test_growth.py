@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from threadloom.functions import dates
-from threadloom.operators import bm25, documents, keyword_index, segmentation, segments
+from threadloom.operators import bm25, documents, keyword_index, segmentation, segments, tfidf
 from threadloom.plans import fixtures, scalars
 from threadloom.session import scratch_path
 from threadloom.tables import TASK_ROWS, spread
@@ -107,3 +107,21 @@ def test_a_segment_moves_a_row_per_document(spark, monkeypatch):
     monkeypatch.setattr(segments, "weight_rows", lambda weights: None)
     rows = lambda df: sorted((r.query_id, r.rank, r.doc_id, r.score) for r in df.collect())
     assert rows(few) == rows(index.search(queries, 300)) and few.count() > 150
+
+
+def test_a_vocabulary_counts_few_terms_by_themselves(spark, monkeypatch):
+    """The same terms as a count of all of them, but only those of full buckets are shuffled."""
+    docs = spark.createDataFrame([(k, " ".join([f"word{j % (k % 40 + 1)}" for j in range(60)] + [f"rare{k} rare{k}x"])) for k in range(300)]
+                                 + [(900, None), (901, ""), (902, "one")], "doc_id long, text string").coalesce(2)
+    split = docs.select("doc_id", tfidf.terms(F.col("text")).alias("terms"))
+    every = split.select("doc_id", F.explode("terms").alias("term")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("total"), F.countDistinct("doc_id").alias("df"))
+    plain = tfidf.stored
+    sums = []
+    monkeypatch.setattr(tfidf, "stored", lambda df, name: sums.append(plain(df, name)) or sums[-1])
+    for features, buckets in ((30, tfidf.BUCKETS), (30, 64), (5000, tfidf.BUCKETS)):
+        want = every.orderBy(F.desc("total"), "term").limit(features).select(
+            "term", F.round(F.log(304.0 / (1.0 + F.col("df"))) + 1.0, 9).alias("idf"))
+        got = tfidf.fit(docs, features, buckets).vocabulary.select("term", F.round("idf", 9).alias("idf"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert every.count() > 1000 and sums[3].count() <= 64

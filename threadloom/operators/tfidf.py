@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,13 +16,20 @@ from threadloom import fixed_values as fv
 from threadloom.functions.text import WORD_SET, let
 from threadloom.operators.bm25 import wanted_docs
 from threadloom.operators.ranking import top_k
-from threadloom.session import cut_lineage
+from threadloom.session import cut_lineage, stored
 
+BUCKETS = 1 << 20
 
-def terms(c: Column) -> Column:
-    """Words of two characters or more without stop words, then neighbouring pairs."""
+
+def kept_words(c: Column) -> Column:
+    """Words of two characters or more without stop words."""
     raw = F.regexp_extract_all(F.lower(c), F.lit(f"[{WORD_SET}]{{2,}}"), F.lit(0))
-    return let(F.filter(raw, lambda w: ~w.isin(fv.STOP_WORDS)), _with_pairs)
+    return F.filter(raw, lambda w: ~w.isin(fv.STOP_WORDS))
+
+
+def terms(c: Column) -> Column:
+    """Those words, then neighbouring pairs."""
+    return let(kept_words(c), _with_pairs)
 
 
 def _with_pairs(kept: Column) -> Column:
@@ -34,16 +46,72 @@ class TfidfModel:
     vocabulary: DataFrame
 
 
-def fit(docs: DataFrame, features: int = 10_000) -> TfidfModel:
-    """Vocabulary of the most frequent terms (count, then term) with smoothed idf."""
-    split = docs.select(terms(F.col("text")).alias("terms"))
-    most = (split.select(F.explode("terms").alias("term")).groupBy("term")
-            .agg(F.count(F.lit(1)).alias("total"))
-            .orderBy(F.desc("total"), "term").limit(features).select("term"))
-    n = docs.count()
-    df = (split.select(F.explode(F.array_distinct("terms")).alias("term"))
-          .join(F.broadcast(most), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    return TfidfModel(cut_lineage(df.select(
+def _terms(batch: pa.RecordBatch, buckets: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists of words: the distinct words, row and key of every term, and the term's bucket. A key has the place of the
+    first word and, for a pair, that of the second."""
+    lists = batch.column(0)
+    lens = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = lists.flatten().dictionary_encode()
+    words, code = codes.dictionary, codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    hashes = pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False)[code]
+    row = np.repeat(np.arange(len(lens)), lens)
+    pair = np.flatnonzero(row[1:] == row[:-1])
+    second = hashes[pair + 1] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+    mixed = np.concatenate([hashes, (hashes[pair] ^ (second >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + second])
+    key = np.concatenate([code * (len(words) + 1), code[pair] * (len(words) + 1) + code[pair + 1] + 1])
+    return words, np.concatenate([row, row[pair]]), key, (mixed >> np.uint64(32)).astype(np.int64) % buckets
+
+
+def _count_buckets(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(buckets, np.int64)
+        for batch in batches:
+            n += np.bincount(_terms(batch, buckets)[3], minlength=buckets)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["bucket", "n"])
+    return count
+
+
+def _count_terms(chosen: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts the terms of the chosen buckets, and the documents that hold them."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, row, key, bucket = _terms(batch, len(chosen))
+            some = chosen[bucket]
+            keys, at, total = np.unique(key[some], return_inverse=True, return_counts=True)
+            df = np.bincount(np.unique(at * (len(batch) + 1) + row[some]) // (len(batch) + 1), minlength=len(keys))
+            first, second = words.take(pa.array(keys // (len(words) + 1))), keys % (len(words) + 1)
+            other = words.take(pa.array(second - 1, mask=second == 0))
+            term = pc.if_else(pa.array(second == 0), first, pc.binary_join_element_wise(first, other, " "))
+            yield pa.RecordBatch.from_arrays([term, pa.array(total), pa.array(df)], ["term", "total", "df"])
+    return count
+
+
+def fit(docs: DataFrame, features: int = 10_000, buckets: int = BUCKETS) -> TfidfModel:
+    """Vocabulary of the most frequent terms (count, then term) with smoothed idf.
+
+    Every term is counted into one of the ``buckets``. A bucket's count bounds those of its terms, so only terms of the
+    fullest buckets are counted each by itself; should another bucket reach the least count that was taken, those that
+    do are counted as well. Texts are split once.
+    """
+    spark, n = docs.sparkSession, docs.count()
+    split = stored(docs.select(kept_words(F.col("text")).alias("words")), "tfidf-words")
+    sums = split.mapInArrow(_count_buckets(buckets), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = stored(sums, "tfidf-buckets")
+    chosen = sums.orderBy(F.desc("n"), "bucket").limit(2 * features)
+    while True:
+        chosen = cut_lineage(chosen)
+        flags = np.zeros(buckets, bool)
+        flags[[r.bucket for r in chosen.select("bucket").collect()]] = True
+        shared = spark.sparkContext.broadcast(flags)
+        counted = split.mapInArrow(lambda batches: _count_terms(shared.value)(batches), "term string, total long, df long")
+        most = cut_lineage(counted.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+                           .orderBy(F.desc("total"), "term").limit(features))
+        least = most.agg(F.when(F.count(F.lit(1)) >= features, F.min("total")).otherwise(0)).first()[0]
+        if sums.join(chosen, "bucket", "left_anti").filter(F.col("n") >= least).isEmpty():
+            break
+        chosen = sums.filter(F.col("n") >= least).unionByName(chosen).distinct()
+    return TfidfModel(cut_lineage(most.select(
         "term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))))
 
 
