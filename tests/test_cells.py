@@ -82,7 +82,10 @@ def test_groups_over_many_batches(spark):
     rows = chat_rows(spark, SF).filter("thread_ts IS NULL AND channel_id IS NOT NULL").select(
         "channel_id", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long")).alias("event_time"), "t", "id", "ts", "user", "msg")
     path = scratch_path(spark, "test-chat")
-    rows.repartitionByRange(3, "event_time").write.parquet(path)
+    # One after the other: the stream takes files by the time they were written, and drops what comes far behind the others.
+    edges = [float("-inf"), *rows.approxQuantile("t", [1 / 3, 2 / 3], 0.0), float("inf")]
+    for low, high in zip(edges, edges[1:]):
+        rows.filter((F.col("t") > low) & (F.col("t") <= high)).coalesce(1).write.mode("append").parquet(path)
     beat = rows.select("channel_id").distinct().select("channel_id", F.lit("2030-01-01 00:00:00").cast("timestamp").alias("event_time"), *[
         F.lit(v).alias(n) for n, v in (("t", 1893456000.0), ("id", "beat"), ("ts", "beat"), ("user", "beat"), ("msg", "beat"))])
     beat.coalesce(1).write.mode("append").parquet(path)

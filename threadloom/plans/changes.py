@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions import quality, text
-from threadloom.operators import chunking, documents, incremental, markdown, store
+from threadloom.operators import chunking, documents, grouping, incremental, markdown, store
 from threadloom.plans import duck, fixtures
 from threadloom.plans.filters import D_FMT, D_PUNCT, D_RULE, D_WORDS, SQL_SNIPPETS, snippets
-from threadloom.plans.grouping import chat_rows, cues, SQL_USER_GROUPS
+from threadloom.plans.grouping import cues, SQL_USER_GROUPS
 from threadloom.plans.registry import query
 from threadloom.plans.sources import blog_files, video_files
 from threadloom.session import scratch_path
 from threadloom.sources import parsers
 from threadloom.streaming import streams
-from threadloom.tables import table
+from threadloom.tables import table, TASK_ROWS
 
 COLUMNS = "namespace string, id string, doc_id long, text string, version long"
 
@@ -346,9 +346,12 @@ def stm_sliding_rate(spark, sf):
 SELECT channel_id, id::VARCHAR AS id, user_name, ts::VARCHAR AS ts, len(message_ids) AS message_count, text FROM ug""")
 def stm_anchor_groups(spark, sf):
     path = scratch_path(spark, "chat")
-    rows = chat_rows(spark, sf).filter("thread_ts IS NULL").select(
+    # The ranges are found on raw messages, so that texts are cleaned once, by many tasks.
+    raw = fixtures.chat(spark, sf).filter("thread_ts IS NULL")
+    parts = max(8, -(-raw.count() // TASK_ROWS))
+    rows = grouping.filtered(raw.repartitionByRange(parts, F.col("ts").cast("double"))).select(
         "channel_id", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long")).alias("event_time"), "t", "id", "ts", "user", "msg")
-    rows.repartitionByRange(8, "event_time").write.parquet(path)
+    rows.write.parquet(path)
     beat = rows.select("channel_id").distinct().select(
         "channel_id", F.lit("2030-01-01 00:00:00").cast("timestamp").alias("event_time"), F.lit(1893456000.0).alias("t"),
         F.lit("beat").alias("id"), F.lit("beat").alias("ts"), F.lit("beat").alias("user"), F.lit("beat").alias("msg"))

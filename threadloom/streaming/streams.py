@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -87,78 +88,133 @@ def conversation_sessions(rows: DataFrame, key: str, gap: str = "30 minutes",
 
 
 GROUP_SCHEMA = "channel_id string, id string, user_name string, ts string, message_count long, text string"
-_MESSAGES = "messages array<struct<t:double, id:string, ts:string, user:string, msg:string>>"
-SLOT_SECONDS = 60
+SLOT_SECONDS, BLOCK_SLOTS = 60, 60
+HELD_CHARS = 16_000_000  # a message counts for its text and this much besides
+MESSAGE_CHARS = 200
 
 
 class AnchorGroups(StatefulProcessor):
-    """Messages of a channel wait by time slot, in map state, until the watermark has passed their slot; an event-time
-    timer then folds that slot alone, in order, into the open group. Of the open group only its anchor is rewritten;
-    its texts are appended to list state. So no step touches all that a channel has waiting.
+    """Messages of a channel wait in parts, in map state: what came at once for a block of time slots is one value, which
+    no later message rewrites. One event-time timer per channel, at the end of the first slot that holds or ends something,
+    folds the slots the watermark has passed, block by block and in order, into the open group. Of the open group
+    only its anchor is rewritten; its texts are appended to list state. So a channel costs a few calls per part, however
+    many slots its messages lie in, and no step holds all that it has waiting.
 
-    The timer at the end of the slot in which a group's window ends closes the group, if nothing else has.
+    A group is closed by a message that cannot join it, or once the slot in which its window ends has passed.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.slots = handle.getMapState("slots", "slot long", _MESSAGES)
+        # the first slot of the part and its number; the messages as JSON lists of t, id, ts, user and msg
+        self.parts = handle.getMapState("parts", "slot long, part long", "messages string")
+        self.known = handle.getValueState("known", "parts long, wake long")
         self.anchor = handle.getValueState("anchor", "t double, id string, user string, last_ts string, count long")
         self.texts = handle.getListState("texts", "msg string")
 
-    def _wake(self, slot: int) -> None:
-        """Timer at the end of a slot; the same one is kept once."""
-        self.handle.registerTimer((slot + 1) * SLOT_SECONDS * 1000)
+    def _keep(self, messages: list, part: int) -> int:
+        """Store the messages of one block; gives their first slot."""
+        first = int(min(m[0] for m in messages) // SLOT_SECONDS)
+        self.parts.updateValue((first, part), (json.dumps(messages, ensure_ascii=False),))
+        return first
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        parts, wake = self.known.get() if self.known.exists() else (0, None)
         new: dict[int, list[tuple]] = {}
+        held, firsts = 0, []
+
+        def keep() -> None:
+            firsts.append(min(self._keep(messages, parts) for messages in new.values()))
+            new.clear()
+
         for pdf in rows:
-            for m in zip(pdf["t"], pdf["id"], pdf["ts"], pdf["user"], pdf["msg"]):
-                new.setdefault(int(m[0] // SLOT_SECONDS), []).append(m)
-        for slot, messages in new.items():
-            held = [tuple(m) for m in self.slots.getValue((slot,))[0]] if self.slots.containsKey((slot,)) else []
-            self.slots.updateValue((slot,), (held + messages,))
-            self._wake(slot)
+            for m in zip(pdf["t"].tolist(), pdf["id"], pdf["ts"], pdf["user"], pdf["msg"]):
+                new.setdefault(int(m[0] // SLOT_SECONDS) // BLOCK_SLOTS, []).append(m)
+                held += len(m[4]) + MESSAGE_CHARS
+            if held >= HELD_CHARS:
+                keep()
+                held, parts = 0, parts + 1
+        if new:
+            keep()
+            parts += 1
+        due = (min(firsts) + 1) * SLOT_SECONDS * 1000 if firsts else wake
+        if due is not None and (wake is None or due < wake):
+            if wake is not None:
+                self.handle.deleteTimer(wake)
+            self.handle.registerTimer(due)
+            wake = due
+        self.known.update((parts, wake))
         yield pd.DataFrame(columns=[c.split()[0] for c in GROUP_SCHEMA.split(", ")])
 
+    def _passed(self, before: int, waiting: list[int]) -> Iterator[list]:
+        """The messages of slots before ``before``, block by block and in order, out of state. Slots that still
+        have something waiting are added to ``waiting``."""
+        blocks: dict[int, list[tuple]] = {}
+        for part in self.parts.keys():
+            if part[0] < before:
+                blocks.setdefault(part[0] // BLOCK_SLOTS, []).append(part)
+            else:
+                waiting.append(part[0])
+        for block in sorted(blocks):
+            messages = []
+            for part in blocks[block]:
+                messages += json.loads(self.parts.getValue(part)[0])
+                self.parts.removeKey(part)
+            if (block + 1) * BLOCK_SLOTS > before:  # the watermark is inside this block
+                later = [m for m in messages if m[0] // SLOT_SECONDS >= before]
+                if later:
+                    waiting.append(self._keep(later, blocks[block][0][1]))
+                    messages = [m for m in messages if m[0] // SLOT_SECONDS < before]
+            yield sorted(messages)
+
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        slot, closed = end // SLOT_SECONDS - 1, []
+        before = timerValues.getCurrentWatermarkInMs() // 1000 // SLOT_SECONDS
+        closed, waiting, size = [], [], 0
         anchor = self.anchor.get() if self.anchor.exists() else None
         fresh: list[tuple] = []  # texts of the open group that are not in state yet
         kept = anchor
-
-        def close() -> None:
-            texts = [m[0] for m in self.texts.get()] if self.texts.exists() else []
+        frame = lambda: pd.DataFrame(closed, columns=[c.split()[0] for c in GROUP_SCHEMA.split(", ")])
+
+        def close() -> int:
+            nonlocal kept
+            texts = []
+            if kept:  # only the group that was open before has texts in state
+                texts = [m[0] for m in self.texts.get()] if self.texts.exists() else []
+                self.texts.clear()
+                kept = None
             closed.append((key[0], anchor[1], anchor[2], anchor[3], anchor[4], " ".join(texts + [m[0] for m in fresh])))
-            self.texts.clear()
             fresh.clear()
+            return len(closed[-1][5]) + MESSAGE_CHARS
 
-        if self.slots.containsKey((slot,)):
-            for m in sorted(tuple(m) for m in self.slots.getValue((slot,))[0]):
+        for messages in self._passed(before, waiting):
+            for m in messages:
                 if anchor and anchor[2] == m[3] and 0 < m[0] - anchor[0] <= fv.ANCHOR_WINDOW_SECONDS:
                     anchor = (*anchor[:3], m[2], anchor[4] + 1)
                 else:
                     if anchor:
-                        close()
+                        size += close()
                     anchor = (m[0], m[1], m[3], m[2], 1)
                 fresh.append((m[4],))
-            self.slots.removeKey((slot,))
+            if size >= HELD_CHARS:
+                yield frame()
+                closed, size = [], 0
         if anchor:
             last = int((anchor[0] + fv.ANCHOR_WINDOW_SECONDS) // SLOT_SECONDS)
-            # over by now, or by the watermark if no slot until then has anything for it
-            if last <= slot or ((last + 1) * SLOT_SECONDS * 1000 <= timerValues.getCurrentWatermarkInMs()
-                                and not any(self.slots.containsKey((s,)) for s in range(slot + 1, last + 1))):
+            if last < before:  # over
                 close()
                 anchor = None
-        if anchor != kept:
-            if anchor:
-                self.anchor.update(anchor)
-                if fresh:
-                    self.texts.appendList(fresh)
-                self._wake(last)
             else:
-                self.anchor.clear()
-        yield pd.DataFrame(closed, columns=[c.split()[0] for c in GROUP_SCHEMA.split(", ")])
+                waiting.append(last)
+        if anchor:
+            self.anchor.update(anchor)
+            if fresh:
+                self.texts.appendList(fresh)
+        elif self.anchor.exists():
+            self.anchor.clear()
+        wake = (min(waiting) + 1) * SLOT_SECONDS * 1000 if waiting else None
+        if wake is not None:
+            self.handle.registerTimer(wake)
+        self.known.update((self.known.get()[0], wake))
+        yield frame()
 
     def close(self) -> None:
         pass
