@@ -20,6 +20,7 @@ from tests.compare import check, connect
 from threadloom.llm import (bpe, byte_bpe, hash_forest, html, language_model, packing, pseudonyms, quality, simhash,
                             toxicity, wordpieces)
 from threadloom.llm.catalog import ORACLES, QUERIES
+from threadloom.llm.common import Memo
 from threadloom.llm.components import components
 from threadloom.plans.registry import Query
 
@@ -686,3 +687,16 @@ def test_packed_counts():
     counts = np.array([0, 1, 254, 255, 256, 2**40, 7])
     assert (language_model.unpacked(language_model.packed(counts), 7) == counts).all()
     assert len(language_model.unpacked(language_model.packed(np.zeros(0, np.int64)), 0)) == 0
+
+
+def test_frequent_words_are_computed_once_and_rules_read_once():
+    asked = []
+    memo = Memo(lambda keys: asked.extend(keys) or [k * 2 for k in keys], most=20)
+    for n in range(0, 400, 8):
+        memo.learn({1000, *range(n, n + 8)})
+        assert memo[1000] == 2000 and all(memo[k] == 2 * k for k in range(n, n + 8)) and len(memo) + len(memo.aside) <= 20
+    assert len(asked) == 401
+    assert wordpieces.Pieces().table is wordpieces.Pieces(pack=False).table
+    words = ["don't", "œuvre", "a.b,c", "x" * 300, "été!!", "漢字", "7up", "the"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in wordpieces.Pieces()._words(words)] == wordpieces.encode(words)
+    assert wordpieces.Pieces(pack=False)._words(["漢字"]) == [len(wordpieces.encode(["漢字"])[0])]

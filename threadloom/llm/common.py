@@ -50,18 +50,22 @@ def byte_lengths(column: pa.Array) -> np.ndarray:
 
 
 class Memo(dict):
-    """Computes missing values for many keys at once. Emptied when it holds ``most`` entries,
-    so that its size is bounded while frequent keys return at once."""
+    """Computes missing values for many keys at once. Emptied when it holds half of ``most`` entries; those are kept
+    aside until the next time, so that its size is bounded while frequent keys are not computed again."""
 
     def __init__(self, compute: Callable[[list], list], most: int = 300_000):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.aside = compute, most, {}
 
     def learn(self, keys: set) -> None:
         missing = [key for key in keys if key not in self]
-        if len(self) + len(missing) > self.most:
+        if len(self) + len(missing) > self.most // 2:
+            self.aside = dict(self)
             self.clear()
             missing = list(keys)
+        if self.aside:
+            self.update((key, self.aside[key]) for key in missing if key in self.aside)
+            missing = [key for key in missing if key not in self]
         if missing:
             self.update(zip(missing, self.compute(missing)))
 

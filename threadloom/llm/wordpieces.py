@@ -17,6 +17,8 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -32,6 +34,7 @@ WORD_END = "</w>"
 
 # The pre-token pattern of the vocabulary, for the characters of PLAIN in lower case.
 PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+PART = re.compile(PRE_TOKEN.pattern + "|\n")  # of many words, one a line
 PLAIN = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
 
 CONTROL = re.compile("[\x1c-\x1f]")
@@ -90,54 +93,77 @@ def whole_tokens(path: str = VOCABULARY) -> dict[str, int]:
     return {w: n for (w, n), ids in zip(words.items(), proofs) if ids == [n]}
 
 
+class Rules(NamedTuple):
+    """What the vocabulary says of bytes, pairs and whole tokens; read once per worker."""
+
+    table: PairTable
+    inner: np.ndarray
+    last: np.ndarray
+    whole: dict[str, int]
+
+
+@lru_cache(maxsize=4)
+def rules(path: str = VOCABULARY) -> Rules:
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    vocab = model["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    number = lambda names: np.array([vocab[n] for n in names], np.int32)
+    table = PairTable(number(a for a, _ in pairs), number(b for _, b in pairs),
+                      np.arange(len(pairs), dtype=np.int32), number(a + b for a, b in pairs))
+    letter = {b: c for c, b in byte_letters().items()}
+    return Rules(table, number(letter[b] for b in range(256)), number(letter[b] + WORD_END for b in range(256)), whole_tokens(path))
+
+
 class Pieces:
     """Ids of texts. White space parts words, and no token crosses it, so what was learned of a
     word holds in every text; a bounded number of words is kept."""
 
     def __init__(self, path: str = VOCABULARY, pack: bool = True):
         self.path, self.pack = path, pack
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
-        vocab = model["vocab"]
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        number = lambda names: np.array([vocab[n] for n in names], np.int32)
-        self.table = PairTable(number(a for a, _ in pairs), number(b for _, b in pairs),
-                               np.arange(len(pairs), dtype=np.int32), number(a + b for a, b in pairs))
-        letter = {b: c for c, b in byte_letters().items()}
-        self.inner = number(letter[b] for b in range(256))
-        self.last = number(letter[b] + WORD_END for b in range(256))
-        self.whole = whole_tokens(path)
+        self.table, self.inner, self.last, self.whole = rules(path)
         self.memo = Memo(self._words)
 
     def _merged(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        raw = [p.encode() for p in parts]
-        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-        flat = np.frombuffer(b"".join(raw), np.uint8)
-        symbols, ends = self.inner[flat], np.cumsum(lengths) - 1
-        symbols[ends] = self.last[flat[ends]]
-        return merge_all(symbols, lengths, self.table)
+        flat = np.frombuffer("\n".join([*parts, ""]).encode(), np.uint8)
+        inside = flat != 10  # no part has a line end
+        ends = np.flatnonzero(~inside)
+        lengths = np.diff(ends, prepend=-1) - 1
+        symbols = self.inner[flat]
+        symbols[ends - 1] = self.last[flat[ends - 1]]
+        return merge_all(symbols[inside], lengths, self.table)
 
     def _words(self, words: list[str]) -> list:
         """Value of each word: its packed ids, or their number."""
-        odd = [w for w in words if not plain(w)]
-        if odd:
+        if not words:
+            return []
+        lines = "\n".join([*words, ""])
+        if not plain(lines):
+            odd = [w for w in words if not plain(w)]
             other = dict(zip(odd, (np.array(ids, "<u4").tobytes() if self.pack else len(ids) for ids in encode(odd, self.path))))
             rest = iter(self._words([w for w in words if w not in other]))
             return [other[w] if w in other else next(rest) for w in words]
-        split = [[w] if w in self.whole else PRE_TOKEN.findall(w) for w in words]
-        rest = list({p for parts in split for p in parts if p not in self.whole})
-        known: dict = {}
-        if rest:
-            ids, sizes = self._merged(rest)
-            if self.pack:
-                raw, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes) * 4
-                known = {p: raw[e - 4 * n : e] for p, e, n in zip(rest, ends.tolist(), sizes.tolist())}
-            else:
-                known = dict(zip(rest, sizes.tolist()))
-        if self.pack:
-            value = lambda p: known[p] if p in known else self.whole[p].to_bytes(4, "little")
-            return [value(parts[0]) if len(parts) == 1 else b"".join(map(value, parts)) for parts in split]
-        return [sum([known.get(p, 1) for p in parts]) for parts in split]
+        found = PART.findall(lines)
+        number = {p: k for k, p in enumerate(dict.fromkeys(found))}
+        parts = list(number)
+        # a part has one id, at its own place, if it is a whole token; a line end has none; the rest is merged
+        ids, first = np.array([self.whole.get(p, -1) for p in parts], np.int64), np.arange(len(parts))
+        sizes, line = np.ones(len(parts), np.int64), number["\n"]
+        sizes[line] = 0
+        rest = np.flatnonzero((ids < 0) & (sizes > 0))
+        if len(rest):
+            merged, sizes[rest] = self._merged([parts[k] for k in rest.tolist()])
+            first[rest] = len(parts) + np.cumsum(sizes[rest]) - sizes[rest]
+            ids = np.concatenate([ids, merged])
+        order = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
+        counts = sizes[order]
+        ends = np.cumsum(counts)
+        bounds = ends[order == line]
+        if not self.pack:
+            return np.diff(bounds, prepend=0).tolist()
+        places = np.arange(ends[-1]) + np.repeat(first[order] - ends + counts, counts)
+        raw = ids[places].astype("<u4").tobytes()
+        return [raw[a:b] for a, b in pairwise([0, *(4 * bounds).tolist()])]
 
     def _split(self, text: str) -> list[str] | None:
         """Words of a text, plain ones in lower case; nothing where white space does not say what they are."""
