@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import bm25
 from threadloom.operators.segments import KeywordSegments
+from threadloom.plans.catalog import CATALOG
 from threadloom.session import scratch_path
 
 WORDS = np.array([f"w{k}" for k in range(400)])
@@ -73,3 +74,47 @@ def test_ranges_below_the_threshold_are_not_read(spark):
     every = parts.agg(F.sum("n")).first()[0]
     read = parts.join(reads, ["query_id", "sid", "range"], "left_semi").agg(F.sum("n")).first()[0]
     assert 0 < read <= every / 2
+
+
+def test_the_query_searches_merged_segments(spark, tmp_path, monkeypatch):
+    """Of the three segments that the changes leave, two with tombstones become one before the search."""
+    rows = topical(240)
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    frame(spark, [(k, f"{WORDS[k]} {WORDS[25 + 9 * k]} {WORDS[26 + 9 * k]}") for k in range(10)], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    merge, search, merged, searched = KeywordSegments.merge, KeywordSegments.search, [], []
+    monkeypatch.setattr(KeywordSegments, "merge", lambda index: merged.append((len(index.live()), merge(index))) or merged[-1][1])
+    monkeypatch.setattr(KeywordSegments, "search", lambda index, queries: searched.extend(index.live()) or search(index, queries))
+    got = {(r.query_id, r.rank): (r.doc_id, r.score) for r in CATALOG["ret_bm25_segments"].run(spark, str(tmp_path)).collect()}
+    assert merged == [(3, True), (2, False)]
+    assert len(searched) == 2 and sum(s.docs for s in searched) == 240 and not any(s.dead_docs or s.graves for s in searched)
+    queries = spark.read.parquet(f"{tmp_path}/benchmark.parquet").toDF("query_id", "query_text")
+    scan = {(r.query_id, r.rank): (r.doc_id, r.score) for r in bm25.bm25_corpus(queries, frame(spark, rows), 50).collect()}
+    assert set(got) == set(scan) and len(got) > 100
+    assert all(got[key][1] == pytest.approx(scan[key][1], abs=2e-6) for key in got)
+
+
+def test_a_merge_writes_what_is_live(spark):
+    """A segment that lost much is written again as if the others had never been in it; one that lost little stays."""
+    rows = topical(150) + [(900, None), (901, ""), (902, "w1 w1 w2"), (902, "w1 w3 w4"), (903, "w1"), (903, "w2 w3"), (904, "")]
+    index = KeywordSegments(spark, scratch_path(spark, "test-index"), range_docs=16)
+    index.upsert(frame(spark, rows))
+    index.upsert(frame(spark, [(k, "w5 w6") for k in range(2000, 2020)]))
+    gone = [*range(0, 150, 12), 2000]
+    index.delete(frame(spark, [(k,) for k in gone], "doc_id long"))
+    assert not index.merge()
+    gone += [*range(0, 150, 3), 901]
+    index.delete(frame(spark, [(k,) for k in gone], "doc_id long"))
+    small = [s for s in index.live() if s.docs == 20]
+    assert index.merge() and not index.merge()
+    after = index.live()
+    assert len(after) == 2 and [s.asDict() | {"v": 0} for s in after if s.docs == 20] == [s.asDict() | {"v": 0} for s in small]
+    alone = KeywordSegments(spark, scratch_path(spark, "test-index"), range_docs=16)
+    alone.upsert(frame(spark, [r for r in rows if r[0] not in gone]))
+    new, want = next(s for s in after if s.docs != 20), alone.live()[0]
+    assert [new[k] for k in ("docs", "length", "dead_docs", "dead_length", "graves")] == [want.docs, want.length, 0, 0, []]
+    columns = {"docs": ["doc_id", "len", "range"], "records": ["doc_id", "len"],
+               "blocks": ["term", "range", "n", "max_tf", "min_len", F.array_sort("docs")]}
+    for what, names in columns.items():
+        got, whole = (sorted(map(tuple, i._all([s], what).select(*names).collect())) for i, s in ((index, new), (alone, want)))
+        assert got == whole
